@@ -47,19 +47,31 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(docs, table(spark, sf_dir, "benchmark"), 10))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    return linededup.digest(linededup.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), 1024)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.digest(substring.find(table(spark, sf_dir, "documents").select("doc_id", "text"), 13))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat, op5_shards, op7_decontaminate, op9_pack)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat, op5_shards, op7_decontaminate, op8_lines, op9_pack, op10_substrings)}
 
 
 def queries():
