@@ -40,6 +40,12 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 80)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -71,7 +77,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat, op5_shards, op7_decontaminate, op8_lines, op9_pack, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat, op5_shards, op6_jaccard, op7_decontaminate, op8_lines, op9_pack, op10_substrings)}
 
 
 def queries():

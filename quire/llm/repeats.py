@@ -51,7 +51,7 @@ def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def flagged_cells(docs: DataFrame, grams: Callable[[list], tuple[np.ndarray, np.ndarray]], n_blocks: int, within_doc: bool = False) -> DataFrame:
-    """(doc_id, n long, cells binary uint32): for each text with any gram, how many it has and the cells of those that
+    """(doc_id, n long, cells binary uint32): for each id, how many grams its text has and the cells of those that
     occur in another document too (``within_doc``: at another place). ``doc_id`` null is NULL_ID here.
 
     ``grams`` takes texts and gives the 64-bit hashes of all their grams in a row and how many each text has.
@@ -89,8 +89,7 @@ def flagged_cells(docs: DataFrame, grams: Callable[[list], tuple[np.ndarray, np.
         for b in slices(batches):
             ids = ids_of(b.column(0))
             h, counts = grams(b.column(1).to_pylist())
-            some = counts > 0
-            yield from with_kind(sizes.add(doc_block(ids[some], n_blocks), ids[some], counts[some].astype(np.uint32)), 2)
+            yield from with_kind(sizes.add(doc_block(ids, n_blocks), ids, counts.astype(np.uint32)), 2)
             held.append((h, np.repeat(ids, counts)))
             n_held += len(h)
             if n_held > 1_500_000:
