@@ -34,6 +34,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embeddings
+
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -77,7 +83,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat, op5_shards, op6_jaccard, op7_decontaminate, op8_lines, op9_pack, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat, op4_embeddings, op5_shards, op6_jaccard, op7_decontaminate, op8_lines, op9_pack, op10_substrings)}
 
 
 def queries():
