@@ -22,8 +22,8 @@ def crop_text(cells: DataFrame, unit: str, area: Column, eps: float = 1.0) -> Da
     last = F.lag("bbox").over(w)
     joined = (F.abs(x["l"] - last["r"]) < eps) & (F.abs(x["b"] - last["b"]) < eps)
     part = F.when(last.isNull() | joined, F.col("text")).otherwise(F.concat(F.lit(" "), F.col("text")))
-    c = cells.filter((F.col("unit") == unit) & inside).withColumn("part", part)
-    ordered = F.array_sort(F.collect_list(F.struct("index", "text", "part")))
+    c = cells.filter((F.col("unit") == unit) & inside).withColumn("part", part).withColumn("rank", F.row_number().over(w))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "part")))
     return c.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(ordered, lambda s: s["part"]), "").alias("text"))
 
 

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from ..schema import DEFAULT_LABELS
 
 BODY = "#/body"
-DOC = Window.partitionBy("doc_id").orderBy("path")
+
+
+def doc_window():
+    """A document in reading order."""
+    return Window.partitionBy("doc_id").orderBy("path")
 
 
 # -------------------------------------------------------------------- traversal
@@ -37,7 +41,7 @@ def with_paths(nodes: DataFrame, max_depth: int = 200) -> DataFrame:
 def traverse(nodes: DataFrame, labels=None, layers=("body",), pages=None, with_groups: bool = False) -> DataFrame:
     """The nodes to visit, with seq (from 0, over all nodes of the document). A node that is left out hides nothing below it;
     groups ignore the page filter; a page filter takes nodes with any place on the page (column pages array<int>)."""
-    t = nodes.withColumn("seq", (F.row_number().over(DOC) - 1).cast("long"))
+    t = nodes.withColumn("seq", (F.row_number().over(doc_window()) - 1).cast("long"))
     group = F.col("kind") == "groups"
     keep = F.col("layer").isin(*layers)
     if not with_groups:
@@ -52,7 +56,7 @@ def traverse(nodes: DataFrame, labels=None, layers=("body",), pages=None, with_g
 def excluded(nodes: DataFrame, labels=DEFAULT_LABELS, layers=("body",), pages=None, start: int = 0, stop: int | None = None) -> DataFrame:
     """``nodes`` with seq and excluded boolean, as a serializer decides: by index over all nodes, and by label, layer and
     first page for items (not groups)."""
-    t = nodes.withColumn("seq", (F.row_number().over(DOC) - 1).cast("long"))
+    t = nodes.withColumn("seq", (F.row_number().over(doc_window()) - 1).cast("long"))
     out = F.col("seq") < start
     if stop is not None:
         out |= F.col("seq") >= stop
@@ -64,7 +68,7 @@ def excluded(nodes: DataFrame, labels=DEFAULT_LABELS, layers=("body",), pages=No
 
 def page_breaks(nodes: DataFrame) -> DataFrame:
     """(doc_id, ref, prev_page, next_page): a break before each node whose first page is over all pages before it."""
-    before = F.max("page_no").over(DOC.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("page_no").over(doc_window().rowsBetween(Window.unboundedPreceding, -1))
     t = nodes.filter("page_no is not null").withColumn("prev_page", before)
     return t.filter("page_no > prev_page").select("doc_id", "ref", "prev_page", F.col("page_no").alias("next_page"))
 
@@ -99,7 +103,7 @@ def above(path: Column) -> Column:
 
 def element_tree(nodes: DataFrame) -> DataFrame:
     """(doc_id, tree): a line a node, indented by depth: seq, label and the start of the text."""
-    t = nodes.withColumn("seq", (F.row_number().over(DOC) - 1).cast("long"))
+    t = nodes.withColumn("seq", (F.row_number().over(doc_window()) - 1).cast("long"))
     line = F.concat(F.repeat(F.lit(" "), F.col("depth")), F.col("seq").cast("string"), F.lit(": "), F.col("label"), F.lit(" with text: "), middle_ellipsis(F.coalesce("text", F.lit("")), 40))
     ordered = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
     return t.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("tree"))

@@ -30,7 +30,7 @@ _SHAPE = ("doc_id", "ref", "parent_ref", "child_pos", "label", "text")
 
 
 def preorder_traversal(spark, sf):
-    return geo_paths(spark, sf).select("doc_id", "ref", "depth", (F.row_number().over(t.DOC) - 1).cast("long").alias("seq"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
+    return geo_paths(spark, sf).select("doc_id", "ref", "depth", (F.row_number().over(t.doc_window()) - 1).cast("long").alias("seq"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
 def label_counts(spark, sf):
@@ -70,7 +70,7 @@ def resolve_refs(spark, sf):
 def caption_text(spark, sf):
     """Each title's captions are the first two paragraphs of its page."""
     n = web(spark, sf).filter("layer = 'body' and label = 'text'")
-    k = n.withColumn("pos", F.row_number().over(t.DOC) - 1).filter("pos < 2")
+    k = n.withColumn("pos", F.row_number().over(t.doc_window()) - 1).filter("pos < 2")
     refs = k.select("doc_id", F.lit("#/texts/title").alias("owner_ref"), F.lit("caption").alias("role"), "pos", F.col("ref").alias("target_ref"))
     return t.caption_text(refs, n)
 
