@@ -14,7 +14,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import inspect
 import math
 import os
 import tempfile
@@ -69,17 +72,59 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def blocks_for(df: DataFrame, mb: int = 8, least: int = 16, most: int = 1 << 16) -> int:
+def blocks_for(df: DataFrame, mb: int = 4, least: int = 16, most: int = 1 << 16) -> int:
     """A power of two of blocks, one for each ``mb`` MB of input."""
     n = max(least, min(most, math.ceil(input_bytes(df) / (mb << 20))))
     return 1 << (n - 1).bit_length()
 
 
+# ---------------------------------------------------------------------- memory
+def tidy() -> None:
+    """Give freed memory back: workers are used again, and one that keeps what its largest task had starves the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+LARGE = 1 << 20  # smaller groups leave nothing worth the call
+
+
+def lean(fn):
+    """An Arrow function (over batches, or of a group) that tidies up after itself."""
+    if inspect.isgeneratorfunction(fn):
+
+        def run(batches):
+            try:
+                yield from fn(batches)
+            finally:
+                tidy()
+
+    elif len(inspect.signature(fn).parameters) == 1:
+
+        def run(table: pa.Table) -> pa.Table:
+            try:
+                return fn(table)
+            finally:
+                if table.nbytes > LARGE:
+                    tidy()
+
+    else:
+
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            try:
+                return fn(key, table)
+            finally:
+                if table.nbytes > LARGE:
+                    tidy()
+
+    return run
+
+
 # --------------------------------------------------------------------- hashing
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; remembers at most ``cap`` words."""
 
-    cap = 300_000
+    cap = 200_000
 
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
@@ -153,7 +198,7 @@ class BlockSender:
     Rows: block int, docs binary (int64), counts binary (int32 entries a doc), one binary for each payload.
     """
 
-    def __init__(self, names: list[str], flush_at: int = 1_500_000):
+    def __init__(self, names: list[str], flush_at: int = 750_000):
         self.names, self.flush_at = names, flush_at
         self.parts: list[tuple] = []
         self.n = 0
@@ -236,7 +281,7 @@ class Bloom:
             bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
             return pa.table({"at": table.column("at").slice(0, 1).cast(pa.int64()), "bits": [bits.tobytes()]}, schema=pa.schema([("at", pa.int64()), ("bits", pa.binary())]))
 
-        parts = ids.mapInArrow(partial, "at long, bits binary").groupBy("at").applyInArrow(unite, "at long, bits binary")
+        parts = ids.mapInArrow(lean(partial), "at long, bits binary").groupBy("at").applyInArrow(unite, "at long, bits binary")
         bits = np.zeros(n_bytes, np.uint8)
         for r in parts.collect():  # at most n_bytes in all
             bits[r["at"] : r["at"] + part] = np.frombuffer(r["bits"], np.uint8)
@@ -310,7 +355,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     def sign(e: DataFrame):
         return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
 
-    e = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(local, star).distinct())
+    e = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(local), star).distinct())
     seen = sign(e)
     for _ in range(max_rounds):
         if not seen["n"]:
@@ -349,4 +394,4 @@ def annotate(docs: DataFrame, fields: str, fn, needs: list[str]) -> DataFrame:
             out = fn(*b.columns[n:])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *out], names=[*(f.name for f in keep), *(f.name for f in new.fields)])
 
-    return src.mapInArrow(run, T.StructType([*keep, *new.fields]))
+    return src.mapInArrow(lean(run), T.StructType([*keep, *new.fields]))

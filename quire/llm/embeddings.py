@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Forest, components, discard, materialize, mix
+from .common import NULL_ID, U64, Forest, components, discard, lean, materialize, mix
 
 
 class Graph:
@@ -249,7 +249,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows_per_shard:
         raw = dump(ids=ids[order], copies=table.column("copies").to_numpy()[order], x=x, **{f"l{i}": a for i, a in enumerate(g.links)})
         return table.slice(0, 1).select(["label", "dim", "shards", "shard"]).append_column("pack", pa.array([raw], pa.binary()))
 
-    packs = materialize(dealt.groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shards int, shard int, pack binary"))
+    packs = materialize(dealt.groupBy("label", "dim", "shard").applyInArrow(lean(build), f"label {kind}, dim int, shards int, shard int, pack binary"))
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     low = packs.withColumn("other", every).filter("shard <= other").select("label", "dim", F.col("shard").alias("i"), F.col("other").alias("j"), F.col("pack").alias("p"))
     high = packs.withColumn("other", every).filter("other <= shard").select("label", "dim", F.col("other").alias("i"), F.col("shard").alias("j"), F.when(F.col("other") != F.col("shard"), F.col("pack")).alias("q"))
@@ -280,7 +280,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows_per_shard:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.nulls(int((n > 0).sum()), pa.int64()), pa.array(n[n > 0])], names=["a", "b", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([c for _, c in edges], pa.int64()), pa.nulls(len(edges), pa.int64())], names=["a", "b", "n"])
 
-    found = materialize(low.join(high, ["label", "dim", "i", "j"]).select("p", "q").mapInArrow(search, "a long, b long, n long"))
+    found = materialize(low.join(high, ["label", "dim", "i", "j"]).select("p", "q").mapInArrow(lean(search), "a long, b long, n long"))
     degree = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     comps = components(found.filter("b is not null").select("a", "b"))
     discard(packs)

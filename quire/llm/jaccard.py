@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Bloom, BlockSender, Forest, WordHashes, back_to_null, blocks_for, components, discard, doc_block, gram_hashes, ids_of, lower_ascii, materialize, sha, slices, unpack
+from .common import NULL_ID, U64, Bloom, BlockSender, Forest, WordHashes, back_to_null, blocks_for, components, discard, doc_block, gram_hashes, ids_of, lean, lower_ascii, materialize, sha, slices, unpack
 from .repeats import flagged_cells, groups, only, spread, with_kind
 
 
@@ -166,7 +166,7 @@ def candidate_edges(reps: DataFrame, percent: int, n_blocks: int, frequent_of: i
         df = np.bincount(at, n).astype(np.int64)
         return pa.table({"g": u[df > often].view(np.int64), "df": df[df > often]}, schema=pa.schema([("g", pa.int64()), ("df", pa.int64())]))
 
-    rows = reps.mapInArrow(count, BlockSender.schema(["g", "df"])).groupBy("block").applyInArrow(frequent, "g long, df long")
+    rows = reps.mapInArrow(lean(count), BlockSender.schema(["g", "df"])).groupBy("block").applyInArrow(lean(frequent), "g long, df long")
     top = sorted((r["df"], r["g"] & (2**64 - 1)) for r in rows.collect())  # at most total / often, about 2**20
     hot = np.asarray([g for _, g in top], U64)
     by_value = np.argsort(hot)
@@ -240,8 +240,8 @@ def candidate_edges(reps: DataFrame, percent: int, n_blocks: int, frequent_of: i
         _, far, low = _stars(d, g)
         return pa.table({"a": far, "b": low}, schema=_edges_schema())
 
-    merged = reps.select("rep", "n", "grams").mapInArrow(send, schema).groupBy("kind", "block").applyInArrow(merge, schema)
-    return merged.groupBy("block").applyInArrow(prefixes, out_schema).groupBy("kind", "block").applyInArrow(meet, "a long, b long").distinct()
+    merged = reps.select("rep", "n", "grams").mapInArrow(lean(send), schema).groupBy("kind", "block").applyInArrow(lean(merge), schema)
+    return merged.groupBy("block").applyInArrow(lean(prefixes), out_schema).groupBy("kind", "block").applyInArrow(lean(meet), "a long, b long").distinct()
 
 
 def cluster_links(reps: DataFrame, clusters: DataFrame, percent: int, n_parts: int, block: int = 4096) -> DataFrame:
@@ -270,10 +270,10 @@ def cluster_links(reps: DataFrame, clusters: DataFrame, percent: int, n_parts: i
                 b.append(y)
         return pa.table({"a": a, "b": b}, schema=_edges_schema())
 
-    return c.groupBy("part", "i", "j").applyInArrow(join, "a long, b long")
+    return c.groupBy("part", "i", "j").applyInArrow(lean(join), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mb: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mb: int = 4) -> DataFrame:
     """(doc_id, n_shingles long, component_id long): a row for each id."""
     n_blocks = blocks_for(docs, mb)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mb: int = 8)
             g = [gram_set(words, t, k) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": ids_of(b.column(0)), "n": [len(x) for x in g], "same": [sha(x.tobytes())[:32] for x in g], "grams": [x.tobytes() for x in g]}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.string()), ("grams", pa.binary())]))
 
-    some = materialize(only(docs, Bloom.build(wanted.select("doc_id"))).mapInArrow(sets, "doc_id long, n long, same string, grams binary").filter("n > 0"))
+    some = materialize(only(docs, Bloom.build(wanted.select("doc_id"))).mapInArrow(lean(sets), "doc_id long, n long, same string, grams binary").filter("n > 0"))
     heads = some.groupBy("same").agg(F.min("doc_id").alias("rep"))
     reps = materialize(some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams")).drop("same"))
     equal = some.select("doc_id", "same").join(heads, "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b")

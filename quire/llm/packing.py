@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import lean, materialize, slices
 
 #: Fixed value: the public pattern that splits text before byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int =
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(body, pa.list_(pa.int32()))] if with_ids else [])], names=[*names, *(["ids"] if with_ids else [])])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -186,7 +186,7 @@ def pack(made: DataFrame, size: int = 1024, rows_per_bucket: int = 50_000) -> Da
             i = rank - s[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(s[:, 3] + i // np.maximum(s[:, 4], 1)), pa.array(s[:, 5] + i % np.maximum(s[:, 4], 1) * length)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(place, schema)
+    return ranked.select(*names, "rank").mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2) -> DataFrame:

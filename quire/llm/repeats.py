@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Bloom, BlockSender, WordHashes, blocks_for, discard, doc_block, gram_hashes, ids_of, materialize, mix, slices, unpack
+from .common import U64, Bloom, BlockSender, WordHashes, blocks_for, discard, doc_block, gram_hashes, ids_of, lean, materialize, mix, slices, unpack
 
 CELLS = ["cells"]
 ROWS = "kind int, " + BlockSender.schema(CELLS)
@@ -92,7 +92,7 @@ def flagged_cells(docs: DataFrame, grams: Callable[[list], tuple[np.ndarray, np.
             yield from with_kind(sizes.add(doc_block(ids, n_blocks), ids, counts.astype(np.uint32)), 2)
             held.append((h, np.repeat(ids, counts)))
             n_held += len(h)
-            if n_held > 1_500_000:
+            if n_held > 750_000:
                 yield from settle()
         yield from settle()
         for kind, s in enumerate((local, marked, sizes)):
@@ -129,9 +129,9 @@ def flagged_cells(docs: DataFrame, grams: Callable[[list], tuple[np.ndarray, np.
                 cells[int(np.searchsorted(uniq, d[i]))] = c[i:j].tobytes()
         return pa.table({"doc_id": uniq, "n": size, "cells": cells}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())]))
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, ROWS)
-    merged = sent.groupBy("kind", "block").applyInArrow(merge, ROWS)
-    return merged.groupBy("block").applyInArrow(gather, "doc_id long, n long, cells binary")
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(send), ROWS)
+    merged = sent.groupBy("kind", "block").applyInArrow(lean(merge), ROWS)
+    return merged.groupBy("block").applyInArrow(lean(gather), "doc_id long, n long, cells binary")
 
 
 @dataclass
@@ -152,10 +152,10 @@ def only(docs: DataFrame, bloom: Bloom, inside: bool = True) -> DataFrame:
             if (k := b.filter(pa.array(ok if inside else ~ok))).num_rows:
                 yield k
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
-def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 8) -> Marks:
+def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 4) -> Marks:
     """Marks every unit in a window of ``k`` units that also starts earlier: in a document with a smaller id
     (``within_doc``: or before in the same one). ``short``: a text of fewer units is one window.
 
@@ -211,7 +211,7 @@ def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k:
                 if len(at):
                     held.append((gram_hashes(h, w)[at], (gram_hashes(h, w, 1)[at] >> U64(32)).astype(np.uint32), np.full(len(at), d, np.int64), at.astype(np.uint32)))
                     n_held += len(at)
-            if n_held > 1_000_000:
+            if n_held > 500_000:
                 yield from settle()
         yield from settle()
         for kind, s in enumerate((whole, marked)):
@@ -240,8 +240,8 @@ def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k:
         out = {"doc_id": d[first][cut[:-1]], "spans": [spans[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]}
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
 
-    merged = touched.mapInArrow(send, rows).groupBy("kind", "block").applyInArrow(merge, rows)
-    marks = materialize(merged.groupBy("block").applyInArrow(gather, "doc_id long, spans binary"))
+    merged = touched.mapInArrow(lean(send), rows).groupBy("kind", "block").applyInArrow(lean(merge), rows)
+    marks = materialize(merged.groupBy("block").applyInArrow(lean(gather), "doc_id long, spans binary"))
     discard(flags)
     return Marks(marks, Bloom.build(marks.select("doc_id")))
 

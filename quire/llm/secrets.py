@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, lean
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -199,13 +199,14 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_of: i
                 value += [v[:MAX_SYMBOLS] for *_, v in spans]
                 secret = {v for *_, v in spans}
                 plain = {w[:MAX_SYMBOLS] for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "")} - secret
-                plain = sorted(w for w in plain if not any(w in s or s in w for s in secret))
+                # long mixed tokens are candidates, not ordinary ones
+                plain = sorted(w for w in plain if not (len(w) >= 20 and _MIXED.match(w)) and not any(w in s or s in w for s in secret))
                 kind += ["plain"] * len(plain)
                 value += plain
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["kind", "value"])
 
     some = docs.filter(F.pmod(F.xxhash64(F.col(key), F.lit("secrets")), F.lit(sample_of)) == 0).select(text)
-    got = some.mapInArrow(values, "kind string, value string").groupBy("kind", "value").agg(F.min(F.xxhash64("value")).alias("h"))
+    got = some.mapInArrow(lean(values), "kind string, value string").groupBy("kind", "value").agg(F.min(F.xxhash64("value")).alias("h"))
     credentials = generated(max(20, per_kind // 4))
     limits = {"assign": per_kind, "hex": per_kind, "access": per_kind, "plain": 10 * per_kind}
     rows = None
