@@ -188,3 +188,80 @@ def expand_page(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     g = item.join(page, ["doc_id", "page_no"]).groupBy("doc_id", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct("page_no", "page_text"))).alias("p"))
     return g.select("doc_id", "chunk_ix", F.array_join(F.transform("p", lambda x: x["page_text"]), "\n\n").alias("text"))
 
+
+
+# ------------------------------------------------------------------------ hybrid
+_SEPARATORS = (r"\n\s*\n", r"\n", r"(?<=[.!?;])\s+", r"\s+")
+_RULE = re.compile(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+
+
+def split_text(text: str, limit: int, count: Callable[[str], int] = _words, level: int = 0) -> list[str]:
+    """Pieces of at most ``limit`` tokens: cut at blank lines, then line ends, sentences, spaces, and characters at last;
+    neighbours are joined again while they fit. (This stands for a splitter library: its cuts differ from that one's.)"""
+    if count(text) <= limit:
+        return [text] if text.strip() else []
+    if level == len(_SEPARATORS):
+        packer = LinePacker(limit, count=count)
+        out = []
+        while text:
+            head, rest = packer.cut(text, limit)
+            head, text = (head, rest) if head else (text[0], text[1:])
+            out.append(head)
+        return out
+    parts, at = [], 0
+    for m in re.finditer(_SEPARATORS[level], text):
+        parts.append(text[at : m.end()])
+        at = m.end()
+    out: list[str] = []
+    for p in [*parts, text[at:]]:
+        for piece in split_text(p, limit, count, level + 1):
+            if out and count(out[-1] + piece) <= limit:
+                out[-1] += piece
+            else:
+                out.append(piece)
+    return [p.strip() for p in out if p.strip()] if level == 0 else out
+
+
+def table_header(text: str) -> tuple[list[str], list[str]]:
+    """(header lines, body lines) of a Markdown table, or no header."""
+    lines = text.splitlines(True)
+    if len(lines) > 2 and lines[0].lstrip().startswith("|") and _RULE.match(lines[1].strip()):
+        return lines[:2], lines[2:]
+    return [], lines
+
+
+def split_oversize(chunks: DataFrame, max_tokens: int, repeat_header: bool = True, count: Callable[[str], int] = _words) -> DataFrame:
+    """``chunks`` in which those of more than ``max_tokens`` tokens, headings included, are split; tables between rows, with
+    their header on every part. Headings that leave no room are dropped from the chunk. A narrow pass."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for d, i, text, heads, refs in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                used = sum(map(count, heads or []))
+                if used >= max_tokens:
+                    heads, used = [], 0
+                room = max_tokens - used
+                if count(text) <= room:
+                    parts = [text]
+                else:
+                    head, body = table_header(text)
+                    if head:
+                        parts = LinePacker(room, "".join(head) if repeat_header else "", count=count).pack(body if repeat_header else head + body)
+                    else:
+                        parts = split_text(text, room, count)
+                rows += [(d, i, k, p, heads, refs) for k, p in enumerate(parts)]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "chunk_ix", "part", "text", "headings", "doc_items"])
+
+    out = chunks.select("doc_id", "chunk_ix", "text", "headings", "doc_items").mapInArrow(run, f"doc_id {kind}, chunk_ix long, part long, text string, headings array<string>, doc_items array<string>")
+    w = Window.partitionBy("doc_id").orderBy("chunk_ix", "part")
+    return out.withColumn("chunk_ix", (F.row_number().over(w) - 1).cast("long")).drop("part")
+
+
+def hybrid_chunks(nodes: DataFrame, max_tokens: int, merge: bool = True) -> DataFrame:
+    """Hierarchical chunks, split where they are too long, then neighbours of equal headings merged while they fit."""
+    c = split_oversize(hierarchical_chunks(nodes), max_tokens)
+    return merge_peers(c, max_tokens) if merge else c

@@ -238,3 +238,21 @@ def svg(drawn: DataFrame, width: float, height: float) -> DataFrame:
     e = drawn.withColumn("e", F.when(F.col("shape") == "rect", rect).otherwise(line))
     g = e.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "shape", "e"))), lambda x: x["e"]), "").alias("x"))
     return g.select("doc_id", "page_no", F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}">'), F.col("x"), F.lit("</svg>")).alias("svg"))
+
+
+def draw_tables(cells: DataFrame, page_no: int = 1) -> DataFrame:
+    """A draw list of table cells with boxes: a rectangle a cell, labelled by what it heads."""
+    label = F.when(F.col("column_header"), "column_header").when(F.col("row_header"), "row_header").otherwise("cell")
+    b = F.col("bbox")
+    return cells.filter("bbox is not null").select("doc_id", F.lit(page_no).alias("page_no"), F.col("cell_ix").alias("z"), F.lit("rect").alias("shape"), label.alias("label"), b["l"].alias("l"), b["t"].alias("t"), b["r"].alias("r"), b["b"].alias("b"))
+
+
+def draw_key_values(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """A draw list of a key-value graph (cells with page_no and bbox): a rectangle a cell, a line a link between centres."""
+    b = F.col("bbox")
+    box = cells.select("doc_id", "page_no", F.col("cell_id").alias("z"), F.lit("rect").alias("shape"), "label", b["l"].alias("l"), b["t"].alias("t"), b["r"].alias("r"), b["b"].alias("b"))
+    mid = cells.select("doc_id", "page_no", "cell_id", ((b["l"] + b["r"]) / 2).alias("x"), ((b["t"] + b["b"]) / 2).alias("y"))
+    s = mid.select("doc_id", "page_no", F.col("cell_id").alias("source_cell_id"), F.col("x").alias("l"), F.col("y").alias("t"))
+    e = mid.select("doc_id", "page_no", F.col("cell_id").alias("target_cell_id"), F.col("x").alias("r"), F.col("y").alias("b"))
+    line = links.select("doc_id", "label", "source_cell_id", "target_cell_id").join(s, ["doc_id", "source_cell_id"]).join(e, ["doc_id", "page_no", "target_cell_id"])
+    return box.unionByName(line.select("doc_id", "page_no", F.col("source_cell_id").alias("z"), F.lit("line").alias("shape"), "label", "l", "t", "r", "b"))

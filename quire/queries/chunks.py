@@ -28,6 +28,12 @@ def hybrid_merge(spark, sf):
     return c.merge_peers(c.hierarchical_chunks(tq.web(spark, sf)), 120).select("doc_id", "chunk_ix", F.sha1("text").alias("text_sha1"), _joined("headings"), F.size("doc_items").alias("n_items"))
 
 
+def hybrid_chunks(spark, sf):
+    """Web pages in chunks of at most 40 words, headings included."""
+    k = c.hybrid_chunks(tq.web(spark, sf), 40)
+    return k.select("doc_id", "chunk_ix", "text", F.size("doc_items").alias("n_items"))
+
+
 def line_chunks(spark, sf):
     """Chunks of at most 60 words, each with its length; documents of up to 60 words are one."""
     return c.line_chunks(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 60)
@@ -67,7 +73,7 @@ def code_chunks(spark, sf):
     return code.code_chunks(n.select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"), F.lit("Python").alias("language")))
 
 
-QUERIES = {f.__name__: f for f in (heading_scope, hierarchical_chunks, contextualize_chunks, hybrid_merge, line_chunks, page_chunks, expand_tree, expand_page, token_counts, conversation_chunks, code_chunks)}
+QUERIES = {f.__name__: f for f in (heading_scope, hierarchical_chunks, contextualize_chunks, hybrid_merge, hybrid_chunks, line_chunks, page_chunks, expand_tree, expand_page, token_counts, conversation_chunks, code_chunks)}
 
 _HEAD = ", hd AS (SELECT s.*, CASE WHEN s.lvl = 0 THEN '' WHEN s.lvl = 1 THEN tt.text WHEN s.lvl = 2 THEN tt.text || '/' || (SELECT n.text FROM g n WHERE n.doc_id = s.doc_id AND n.ref = s.parent_ref) ELSE tt.text || '/' || nn.text || '/' || sg.text END headings FROM s JOIN g tt ON tt.doc_id = s.doc_id AND tt.lvl = 0 LEFT JOIN g sg ON sg.doc_id = s.doc_id AND sg.ref = s.parent_ref AND sg.lvl = 2 LEFT JOIN g nn ON nn.doc_id = sg.doc_id AND nn.ref = sg.parent_ref) "
 _WEBC = ", tl AS (SELECT doc_id, min(seq) ts, first(text) t FROM w WHERE label = 'title' GROUP BY 1), ch AS (SELECT w.doc_id, row_number() OVER (PARTITION BY w.doc_id ORDER BY seq) - 1 chunk_ix, ref, page_no, text, CASE WHEN seq > ts THEN t END h FROM w LEFT JOIN tl USING (doc_id) WHERE layer = 'body' AND label <> 'title') "

@@ -62,6 +62,23 @@ def test_line_packer_keeps_text_and_limits():
     assert chunk.LinePacker(2, "p q r").pack(["a b\n"]) == ["p q", " r", "a b\n"]
 
 
+def test_split_text_keeps_words_and_limits():
+    r = random.Random(6)
+    for _ in range(40):
+        text = "".join("v" * r.randint(1, 6) + r.choice([" ", " ", " ", ". ", "\n", "\n\n"]) for _ in range(r.randint(1, 80)))
+        parts = chunk.split_text(text, 7)
+        assert all(0 < len(p.split()) <= 7 for p in parts)
+        assert " ".join(parts).split() == text.split()
+    assert chunk.split_text("", 5) == [] and chunk.split_text("a b", 5) == ["a b"]
+
+
+def test_oversize_tables_repeat_their_header(spark):
+    t = "| a | b |\n|---|---|\n" + "".join(f"| {i} | x |\n" for i in range(6))
+    c = spark.createDataFrame([(1, 0, t, ["H"], ["#/tables/0"])], "doc_id long, chunk_ix long, text string, headings array<string>, doc_items array<string>")
+    out = chunk.split_oversize(c, 17).orderBy("chunk_ix").collect()
+    assert len(out) == 3 and all(r["text"].startswith("| a | b |\n|---|---|\n") for r in out)
+
+
 def test_code_chunks():
     py = "import a\n\n@d\ndef f(x):\n    return x\n\nclass C:\n    v = 1\n"
     assert [(k, n) for k, n, *_ in code.chunks_of(py, "Python")] == [("preamble", ""), ("function", "f"), ("class", "C")]
