@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_LABELS
+from ..storage import materialize
 
 BODY = "#/body"
 
@@ -22,13 +23,13 @@ def doc_window():
 def with_paths(nodes: DataFrame, max_depth: int = 200) -> DataFrame:
     """``nodes`` that the body reaches, with path array<int>, depth int: a join a level, as deep as the data are.
 
-    Levels are kept (memory, then disk) since every later step reads them. Deeper trees than ``max_depth`` raise an error."""
+    Each level is a table in the shared folder, since every later step reads it. Deeper trees than ``max_depth`` raise an error."""
     slim = nodes.select("doc_id", "ref", "parent_ref", "child_pos")
-    level = slim.filter(F.col("parent_ref") == BODY).select("doc_id", "ref", F.array("child_pos").alias("path")).persist()
+    level = materialize(slim.filter(F.col("parent_ref") == BODY).select("doc_id", "ref", F.array("child_pos").alias("path")))
     paths, depth = level, 1
     while True:
         up = level.select("doc_id", F.col("ref").alias("parent_ref"), F.col("path").alias("up"))
-        level = slim.join(up, ["doc_id", "parent_ref"]).select("doc_id", "ref", F.concat("up", F.array("child_pos")).alias("path")).persist()
+        level = materialize(slim.join(up, ["doc_id", "parent_ref"]).select("doc_id", "ref", F.concat("up", F.array("child_pos")).alias("path")))
         if level.isEmpty():
             break
         depth += 1

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import cells as pc
 
-W, H = F.lit(200.0), F.lit(120.0)
+
+
+def page():
+    """Width and height of the pages."""
+    return F.lit(200.0), F.lit(120.0)
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,12 +47,12 @@ def bbox_iou(spark, sf):
 
 
 def bbox_flip(spark, sf):
-    b = boxes(spark, sf).select("k", "line", g.to_top_left(F.col("x"), H).alias("a"), g.to_bottom_left(F.col("x"), H).alias("c"))
+    b = boxes(spark, sf).select("k", "line", g.to_top_left(F.col("x"), page()[1]).alias("a"), g.to_bottom_left(F.col("x"), page()[1]).alias("c"))
     return b.select("k", "line", *[r6(F.col(f"a.{n}")).alias(f"top_{n}") for n in "ltrb"], *[r6(F.col(f"c.{n}")).alias(f"bot_{n}") for n in "ltrb"])
 
 
 def bbox_normalize(spark, sf):
-    b = boxes(spark, sf).select("k", "line", g.normalized(F.col("x"), W, H).alias("n"), g.expand_by_scale(F.col("x"), F.lit(0.5), F.lit(0.25)).alias("e"))
+    b = boxes(spark, sf).select("k", "line", g.normalized(F.col("x"), *page()).alias("n"), g.expand_by_scale(F.col("x"), F.lit(0.5), F.lit(0.25)).alias("e"))
     return b.select("k", "line", *[r6(F.col(f"n.{n}")).alias(f"n_{n}") for n in "ltrb"], *[r6(F.col(f"e.{n}")).alias(f"e_{n}") for n in "ltrb"])
 
 
@@ -69,12 +73,12 @@ def bbox_intersection(spark, sf):
 
 def bbox_enclosing(spark, sf):
     """The box around an order's boxes, all turned to the top-left origin first."""
-    b = boxes(spark, sf).select("k", g.to_top_left(F.col("x"), H).alias("x")).groupBy("k").agg(g.enclosing(F.col("x")).alias("e"))
+    b = boxes(spark, sf).select("k", g.to_top_left(F.col("x"), page()[1]).alias("x")).groupBy("k").agg(g.enclosing(F.col("x")).alias("e"))
     return b.select("k", *[r6(F.col(f"e.{n}")).alias(n) for n in "ltrb"])
 
 
 def bbox_quantize(spark, sf):
-    return boxes(spark, sf).select("k", "line", g.location_tokens(g.to_top_left(F.col("x"), H), W, H).alias("tokens"))
+    return boxes(spark, sf).select("k", "line", g.location_tokens(g.to_top_left(F.col("x"), page()[1]), *page()).alias("tokens"))
 
 
 def rect_figures(spark, sf):

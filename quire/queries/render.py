@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.tree import with_paths
 from ..plans import render as r
 from ..sources import markup
 from ..sources import tables as src
+from ..storage import materialize
 from . import tree as tq
 from .geometry import BOXES, boxes
 
 
 def geo_lists(spark, sf):
     """The geography with a list group around the customers of each segment; every third group is enumerated."""
-    n = tq.geo(spark, sf).withColumn("enumerated", F.lit(None).cast("boolean"))
+    n = materialize(tq.geo(spark, sf)).withColumn("enumerated", F.lit(None).cast("boolean"))
     item = F.col("label") == "list_item"
     group = F.concat(F.replace("parent_ref", F.lit("#/texts/n"), F.lit("#/groups/n")))
     g = n.filter(item).select("doc_id", "parent_ref", group.alias("ref")).distinct().withColumn("child_pos", F.lit(0)).withColumn("label", F.lit("list")).withColumn("kind", F.lit("groups")).withColumn("layer", F.lit("body"))
     moved = n.withColumn("enumerated", F.when(item, F.ascii(F.right(group, F.lit(1))) % 3 == 0)).withColumn("parent_ref", F.when(item, group).otherwise(F.col("parent_ref")))
-    from ..operators.tree import with_paths
-
-    return with_paths(moved.unionByName(g, allowMissingColumns=True), 20)
+    return with_paths(materialize(moved.unionByName(g, allowMissingColumns=True)), 20)
 
 
 def render_markdown(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tree as t
 from ..sources import tables as src
+from ..storage import materialize
 
 
 def _read(spark, sf, name):
@@ -18,7 +19,7 @@ def geo(spark, sf):
 
 
 def geo_paths(spark, sf):
-    return t.with_paths(geo(spark, sf), 20).persist()
+    return t.with_paths(materialize(geo(spark, sf)), 20)
 
 
 def web(spark, sf):
