@@ -7,7 +7,7 @@ a blue set) are merged into a probabilistic automaton. A character model of ordi
 alternative hypothesis.
 
 Scoring (all texts): every long token with letters and digits that no base span overlaps is scored by the best
-automaton's log likelihood a character over that of the ordinary model; above ``threshold`` it becomes a span of kind
+automaton's log likelihood over that of the ordinary model; from ``threshold`` (nats) on it is a span of kind
 ``format``. Base spans are never touched. Positions are code points, ends exclusive; a base span is the whole match.
 
 Nulls: a null text counts as empty. Empty tables give empty results. Repeated rows and ids are judged one by one.
@@ -180,10 +180,10 @@ class Model:
         self.ordinary = Ordinary(ordinary)
 
     def advantage(self, token: str) -> float:
-        """How many nats a character the best format explains better than ordinary text."""
+        """By how many nats the best format explains the token better than ordinary text does."""
         if not self.kinds:
             return -math.inf
-        return (max(a.score(token) for a in self.kinds.values()) - self.ordinary.score(token)) / (len(token) + 1)
+        return max(a.score(token) for a in self.kinds.values()) - self.ordinary.score(token)
 
 
 def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_of: int = 16, per_kind: int = 400) -> Model:
@@ -219,7 +219,7 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_of: i
     return Model(credentials, plain)
 
 
-def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 1.0) -> DataFrame:
+def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 15.0) -> DataFrame:
     """``docs`` with q_spans array<struct<kind string, start int, end int>>, by start, then kind."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
