@@ -19,8 +19,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of three lines that occur earlier go, and documents of which nothing else is left."""
-    return linededup.dedup(docs)
+    """Runs of three lines, and fewer lines of eight words together, that occur earlier go, and documents of which nothing
+    else is left."""
+    return linededup.dedup(docs, least=linededup.LEAST)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,30 +6,44 @@ that occur at one place only are done with. The others' windows are compared exa
 which extends a match both ways; every occurrence of a window but the first (smallest doc_id, then line) is deleted.
 A text of fewer than ``k`` lines is one window.
 
-So a line goes exactly if a window of ``k`` lines over it also starts earlier. Nulls: a null text has no lines; a null
+So a line goes exactly if a window of ``k`` lines over it also starts earlier. With ``least``, fewer lines are a window
+as well if their sizes come to ``least`` or more, so a long line that occurs earlier goes on its own, and so does a pair;
+the size of a line is its number of words, or an eighth of its bytes if that is more, for scripts without spaces. The
+fingerprint of such a window is found in the same way, so these are caught without exception, too. Nulls: a null text has no lines; a null
 doc_id comes first. Rows that share an id are ordered among themselves by line only. Empty tables give empty results.
 Other columns pass through ``dedup``; ``q_spans`` is replaced.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import annotate, sha, utf8
-from .repeats import kept_units, mark_repeats, winnow, with_marks
+from .repeats import kept_units, mark_repeats, winnow, winnow_windows, with_marks
 
 RUN = 3
+#: the least size of a repeated run of fewer lines in the pipeline
+LEAST = 8
 
 
 def lines_of(text: str | None) -> list[bytes]:
     return [] if not text else utf8(text).split(b"\n")
 
 
-def find(docs: DataFrame, k: int = RUN) -> DataFrame:
+def sizes_of(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter((max(len(x.split()), len(x) // 8) for x in lines), np.int64, len(lines))
+
+
+def find(docs: DataFrame, k: int = RUN, least: int | None = None) -> DataFrame:
     """``docs`` with q_spans binary: int32 start and end of the runs of lines to remove, null for none."""
-    return with_marks(docs, mark_repeats(docs, lines_of, k, winnow(k), within_doc=True, short=True))
+    if least is None:
+        marks = mark_repeats(docs, lines_of, k, winnow(k), within_doc=True, short=True)
+    else:
+        marks = mark_repeats(docs, lines_of, k, winnow_windows, within_doc=True, short=True, sizes=sizes_of, least=least)
+    return with_marks(docs, marks)
 
 
 def _cut(texts, spans):
@@ -38,7 +52,7 @@ def _cut(texts, spans):
         yield t, lines, kept_units(lines, s)
 
 
-def dedup(docs: DataFrame, k: int = RUN, drop_emptied: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, k: int = RUN, drop_emptied: bool = True, least: int | None = None) -> DataFrame:
     """``docs`` with the lines that stay; texts of which nothing but blank lines stays, though lines went, are dropped
     if ``drop_emptied``: they are copies of earlier ones."""
 
@@ -51,7 +65,7 @@ def dedup(docs: DataFrame, k: int = RUN, drop_emptied: bool = True) -> DataFrame
         return [pa.array(out, pa.string()), pa.array(gone, pa.bool_())]
 
     names = docs.columns
-    out = annotate(find(docs, k), "text string, q_gone boolean", run, ["text", "q_spans"])
+    out = annotate(find(docs, k, least), "text string, q_gone boolean", run, ["text", "q_spans"])
     return (out.filter(~F.col("q_gone")) if drop_emptied else out).select(*names)
 
 

@@ -155,16 +155,21 @@ def only(docs: DataFrame, bloom: Bloom, inside: bool = True) -> DataFrame:
     return docs.mapInArrow(lean(run), docs.schema)
 
 
-def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 4) -> Marks:
+def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[..., tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 4, sizes: Callable[[list[bytes]], np.ndarray] | None = None, least: int = 0) -> Marks:
     """Marks every unit in a window of ``k`` units that also starts earlier: in a document with a smaller id
-    (``within_doc``: or before in the same one). ``short``: a text of fewer units is one window.
+    (``within_doc``: or before in the same one). ``short``: a text of fewer units is one window. With ``sizes``, which
+    gives the size of each unit, fewer units whose sizes come to ``least`` or more are a window, too.
 
-    ``prefilter`` takes a text's unit hashes and gives (cells' hashes, the number of the cell that each window needs).
+    ``prefilter`` takes a text's unit hashes (with ``sizes``: and its windows) and gives (cells' hashes, the number of the
+    cell that each window needs).
     """
     n_blocks = blocks_for(docs, mb)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    flags = materialize(flagged_cells(docs, _grams(units, prefilter), n_blocks, within_doc).filter("octet_length(cells) > 0").drop("n"))
+    def windows(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return windows_by_size(sizes(found), k, least, short)
+
+    flags = materialize(flagged_cells(docs, _grams(units, prefilter, windows if sizes else None), n_blocks, within_doc).filter("octet_length(cells) > 0").drop("n"))
     touched = only(docs, Bloom.build(flags.select("doc_id"))).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(flags, "doc_id")
 
     names, types = ["a", "b", "at"], {"a": np.uint64, "b": np.uint32, "at": np.uint32}
@@ -204,12 +209,14 @@ def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k:
 
         for batch in slices(batches):
             for d, t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = words.of(units(t))
-                w = min(k, len(h)) if short else k
-                cells, need = prefilter(h)
-                at = np.flatnonzero(np.isin(cells_of(cells), np.frombuffer(c, np.uint32))[need]) if len(need) else np.empty(0, np.int64)
-                if len(at):
-                    held.append((gram_hashes(h, w)[at], (gram_hashes(h, w, 1)[at] >> U64(32)).astype(np.uint32), np.full(len(at), d, np.int64), at.astype(np.uint32)))
+                found = units(t)
+                h = words.of(found)
+                start, w = windows(found) if sizes else windows_of_length(len(h), min(k, len(h)) if short else k)
+                cells, need = prefilter(h, start, w) if sizes else prefilter(h)
+                hit = np.isin(cells_of(cells), np.frombuffer(c, np.uint32))[need] if len(need) else np.empty(0, bool)
+                for n in np.unique(w[hit]).tolist():
+                    at = start[hit & (w == n)]
+                    held.append((gram_hashes(h, n)[at], (gram_hashes(h, n, 1)[at] >> U64(32)).astype(np.uint32), np.full(len(at), d, np.int64), (at * (k + 1) + n).astype(np.uint32)))
                     n_held += len(at)
             if n_held > 500_000:
                 yield from settle()
@@ -230,12 +237,12 @@ def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k:
         d, at = unpack(table, {"at": np.uint32})
         order, starts = groups(d, at)
         keep = order[starts]
-        d, at = d[keep], at[keep].astype(np.int64)
-        # a run starts at a new document or after a gap of more than k units
-        new = np.append(True, (d[1:] != d[:-1]) | (at[1:] - at[:-1] > k))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(d)) - 1
-        spans = np.stack([at[first], at[last] + k], 1).astype(np.int32)
+        d, (at, w) = d[keep], np.divmod(at[keep].astype(np.int64), k + 1)
+        # a run starts at a new document or after the end of all windows before
+        doc = np.cumsum(np.append(0, d[1:] != d[:-1])) << 33
+        end = np.maximum.accumulate(doc + at + w)
+        first = np.flatnonzero(np.append(True, (doc + at)[1:] > end[:-1]))
+        spans = np.stack([at[first], np.maximum.reduceat(at + w, first)], 1).astype(np.int32)
         cut = np.append(np.flatnonzero(np.append(True, d[first][1:] != d[first][:-1])), len(first))
         out = {"doc_id": d[first][cut[:-1]], "spans": [spans[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]}
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
@@ -246,12 +253,31 @@ def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k:
     return Marks(marks, Bloom.build(marks.select("doc_id")))
 
 
-def _grams(units, prefilter):
+def windows_of_length(n: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of all windows of ``w`` of ``n`` units."""
+    start = np.arange(max(n - w + 1, 0) if w else 0)
+    return start, np.full(len(start), w, np.int64)
+
+
+def windows_by_size(size: np.ndarray, k: int, least: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the windows: those of ``k`` units and shorter ones of size ``least`` or more; with ``short``
+    a text of fewer units is one."""
+    n, total = len(size), np.append(0, np.cumsum(size))
+    parts = []
+    for w in range(1, min(k, n) + 1):
+        start, length = windows_of_length(n, w)
+        some = (total[w:] - total[:-w] >= least) | (w == k) | (short and w == n)
+        parts.append((start[some], length[some]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _grams(units, prefilter, windows=None):
     """``grams`` with word hashes that stay for a task."""
     words = WordHashes()
 
     def run(texts):
-        parts = [prefilter(words.of(units(t)))[0] for t in texts]
+        found = [units(t) for t in texts]
+        parts = [prefilter(words.of(u), *(windows(u) if windows else ()))[0] for u in found]
         return (np.concatenate(parts) if parts else np.empty(0, U64)), np.fromiter(map(len, parts), np.int64, len(parts))
 
     return run
@@ -302,3 +328,15 @@ def winnow(k: int):
         return v[chosen], need
 
     return run
+
+
+def winnow_windows(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``winnow`` for windows of several lengths: a unit that is the fingerprint of several has one cell."""
+    v = mix(h)
+    at = np.empty(len(start), np.int64)
+    for w in np.unique(length).tolist():
+        some = length == w
+        view = np.lib.stride_tricks.sliding_window_view(v, w)[start[some]]
+        at[some] = start[some] + (w - 1 - view[:, ::-1].argmin(1))
+    chosen, need = np.unique(at, return_inverse=True)
+    return v[chosen], need
