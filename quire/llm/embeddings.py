@@ -5,7 +5,8 @@ label's representatives are dealt by hash to shards of about ``rows_per_shard``;
 is queried with every vector of the label: a task takes two shards, searches each one's graph for the other's vectors
 (or its own) and widens beams: those of single queries while their last place still reaches the threshold, and all
 of them until an audit on a sample of queries, which are compared with every vector of the shard, finds ``recall`` of the true
-links; a beam of more than a quarter of the shard is replaced by the full comparison, which then costs less. Candidates are verified by cosine in double
+links. The sample grows until it holds 100 true links; where links are too few for that, it ends as the full comparison.
+A beam of more than a quarter of the shard is replaced by the full comparison, which then costs less. Candidates are verified by cosine in double
 precision. A task sends each vector's number of links and a spanning forest, not its pairs; components are united.
 
 Nulls: vectors that are null or empty, zero, or hold null or non-finite components, and those without a label, link
@@ -197,12 +198,28 @@ def exact_pairs(a: np.ndarray, b: np.ndarray, threshold: float, rows: int = 512)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
 
 
-def query(queries: np.ndarray, g: Graph, exact: np.ndarray, threshold: float, recall: float, beam: int = 24, audit: int = 48):
-    """(query, row) index pairs with cosine >= threshold: widened beams, audited, then verified in double precision."""
+def query(queries: np.ndarray, g: Graph, exact: np.ndarray, threshold: float, recall: float, beam: int = 24, audit: int = 48, links: int = 100, same: bool = False):
+    """(query, row) index pairs with cosine >= threshold: widened beams, audited, then verified in double precision.
+
+    The audit compares queries in full until it holds ``links`` true links; if the queries have no more, all are compared
+    in full by then, and that is the result. ``same``: queries are the rows themselves, which match themselves; that is no link."""
     n, near_enough = len(exact), np.float32(threshold - 1e-4)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)) if len(queries) else np.empty(0, int)
-    ti, tj = exact_pairs(queries[sample], exact, threshold)
-    true = set(zip(sample[ti].tolist(), tj.tolist(), strict=True))
+    if 4 * beam > n:
+        return exact_pairs(queries, exact, threshold)
+    order = np.argsort(mix(np.arange(len(queries), dtype=U64)), kind="stable")
+    true, held, at = [(np.empty(0, int), np.empty(0, int))], 0, 0
+    while held < links and at < len(queries):
+        part = order[at : at + max(audit, at)]
+        i, j = exact_pairs(queries[part], exact, threshold)
+        true.append((part[i], j))
+        held += int((part[i] != j).sum()) if same else len(i)
+        at += len(part)
+    i, j = (np.concatenate(x) for x in zip(*true, strict=True))
+    if at >= len(queries):
+        return i, j
+    if same:
+        i, j = i[i != j], j[i != j]
+    true = i * n + j
     q32 = queries.astype(np.float32)
     while True:
         if 4 * beam > n:
@@ -223,7 +240,7 @@ def query(queries: np.ndarray, g: Graph, exact: np.ndarray, threshold: float, re
         i, j = np.concatenate(left), np.concatenate(right)
         ok = np.einsum("nd,nd->n", queries[i], exact[j]) >= threshold
         i, j = i[ok], j[ok]
-        if not true or len(true & set(zip(i.tolist(), j.tolist(), strict=True))) >= recall * len(true):
+        if np.isin(true, i * n + j).sum() >= recall * len(true):
             return i, j
         beam *= 2
 
@@ -260,7 +277,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows_per_shard:
                 p = load(raw_p.as_py())
                 q = load(raw_q.as_py()) if raw_q.is_valid else p
                 graph = lambda z: Graph(z["x"].astype(np.float32), [z[f"l{i}"] for i in range(sum(k[0] == "l" for k in z))])
-                i, j = query(q["x"], graph(p), p["x"], threshold, recall)
+                i, j = query(q["x"], graph(p), p["x"], threshold, recall, same=q is p)
                 pairs = i.astype(np.int64) * len(p["x"]) + j
                 if q is p:
                     back = j.astype(np.int64) * len(p["x"]) + i
