@@ -177,8 +177,11 @@ def expand_tree(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     top = nodes.select("doc_id", "ref", F.slice("path", 1, 1).alias("top"))
     item = chunks.select("doc_id", "chunk_ix", F.explode("doc_items").alias("ref")).join(top, ["doc_id", "ref"]).select("doc_id", "chunk_ix", "top").distinct()
     texts = nodes.filter("text is not null and text <> ''").select("doc_id", F.slice("path", 1, 1).alias("top"), "path", "text")
-    g = item.join(texts, ["doc_id", "top"]).groupBy("doc_id", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("p"))
-    return g.select("doc_id", "chunk_ix", F.array_join(F.transform("p", lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("text"))
+    # a top's text is made once, whatever the number of its chunks
+    whole = texts.groupBy("doc_id", "top").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("p"))
+    whole = whole.select("doc_id", "top", F.array_join(F.transform("p", lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("whole"))
+    g = item.join(whole, ["doc_id", "top"]).groupBy("doc_id", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct("top", "whole"))).alias("p"))
+    return g.select("doc_id", "chunk_ix", F.array_join(F.transform("p", lambda x: x["whole"]), "").alias("text"))
 
 
 def expand_page(chunks: DataFrame, nodes: DataFrame) -> DataFrame:

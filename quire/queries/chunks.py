@@ -45,13 +45,13 @@ def page_chunks(spark, sf):
 
 def expand_tree(spark, sf):
     n = tq.geo_paths(spark, sf)
-    k = c.hierarchical_chunks(n).filter("chunk_ix % 40 = 0")
+    k = c.hierarchical_chunks(n)
     return c.expand_tree(k, n).select("doc_id", "chunk_ix", F.char_length("text").alias("chars"), F.sha1("text").alias("text_sha1"))
 
 
 def expand_page(spark, sf):
     n = tq.web(spark, sf)
-    k = c.hierarchical_chunks(n).filter("chunk_ix = 3")
+    k = c.hierarchical_chunks(n)
     return c.expand_page(k, n)
 
 

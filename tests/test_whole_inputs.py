@@ -32,3 +32,8 @@ def equal(spark, duck, name, sql):
 @pytest.mark.parametrize("name", TABLES)
 def test_tables_of_all_orders(spark, duck, name):
     equal(spark, duck, name, ORACLE[name].replace(" WHERE l_orderkey % 5 < 2", ""))
+
+
+def test_every_chunk_is_expanded(spark, duck):
+    equal(spark, duck, "expand_tree", ORACLE["expand_tree"].replace(" WHERE chunk_ix % 40 = 0", ""))
+    equal(spark, duck, "expand_page", ORACLE["expand_page"].replace(" WHERE chunk_ix = 3", ""))
