@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph as gr
-from .geometry import BOXES, boxes
+from .geometry import BOXES, boxes, page
 
 
 def _graph(spark, sf):
@@ -33,7 +33,8 @@ def broken_links(spark, sf):
 
 
 def kv_iou_match(spark, sf):
-    b = boxes(spark, sf).filter("x.coord_origin = 'TOPLEFT'").select(F.col("k").alias("doc_id"), F.lit(1).alias("page_no"), "line", "x", "y")
+    x, y = (g.to_top_left(F.col(c), page()[1]).alias(c) for c in "xy")
+    b = boxes(spark, sf).select(F.col("k").alias("doc_id"), F.lit(1).alias("page_no"), "line", x, y)
     left = b.groupBy("doc_id", "page_no", "line").agg(F.min("x").alias("box")).withColumn("id", F.col("line"))
     right = b.groupBy("doc_id", "page_no", "line").agg(F.min("y").alias("box")).withColumn("id", F.col("line"))
     return gr.iou_match(left, right).select("doc_id", "left_id", "right_id", F.round("iou", 9).alias("iou"))

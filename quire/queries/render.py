@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import text as tx
 from ..operators.tree import with_paths
 from ..plans import render as r
@@ -11,7 +12,7 @@ from ..sources import markup
 from ..sources import tables as src
 from ..storage import materialize
 from . import tree as tq
-from .geometry import BOXES, boxes
+from .geometry import BOXES, boxes, page
 
 
 def geo_lists(spark, sf):
@@ -103,7 +104,7 @@ def timestamps(spark, sf):
 
 def _placed(spark, sf):
     """Boxes of an order's lines on a page, with a node a line."""
-    b = boxes(spark, sf).filter("x.coord_origin = 'TOPLEFT'").groupBy(F.col("k").alias("doc_id"), "line").agg(F.min("x").alias("bbox"))
+    b = boxes(spark, sf).groupBy(F.col("k").alias("doc_id"), "line").agg(F.min(g.to_top_left(F.col("x"), page()[1])).alias("bbox"))
     ref = F.concat(F.lit("#/texts/"), F.col("line").cast("string"))
     prov = b.select("doc_id", ref.alias("ref"), F.lit(0).alias("prov_ix"), F.lit(1).alias("page_no"), "bbox")
     return prov, b.select("doc_id", ref.alias("ref"), F.lit("text").alias("label"), F.array("line").alias("path"))

@@ -37,3 +37,18 @@ def test_tables_of_all_orders(spark, duck, name):
 def test_every_chunk_is_expanded(spark, duck):
     equal(spark, duck, "expand_tree", ORACLE["expand_tree"].replace(" WHERE chunk_ix % 40 = 0", ""))
     equal(spark, duck, "expand_page", ORACLE["expand_page"].replace(" WHERE chunk_ix = 3", ""))
+
+
+#: all boxes, turned to the top-left origin of pages 120 high
+TURNED = "FROM (SELECT * REPLACE (CASE WHEN bl THEN 120 - v1 ELSE v0 END AS v0, CASE WHEN bl THEN 120 - v0 ELSE v1 END AS v1, CASE WHEN bl THEN 120 - w1 ELSE w0 END AS w0, CASE WHEN bl THEN 120 - w0 ELSE w1 END AS w1) FROM b)"
+
+
+@pytest.mark.parametrize("name", ["kv_iou_match", "draw_list"])
+def test_boxes_of_both_origins(spark, duck, name):
+    equal(spark, duck, name, ORACLE[name].replace("FROM b WHERE NOT bl", TURNED))
+
+
+def test_svg_holds_every_line(spark, duck):
+    svgs = queries.queries()["layout_svg"](spark, SF).collect()
+    want = dict(duck.sql("select l_orderkey, count(distinct l_linenumber) from lineitem group by 1").fetchall())
+    assert {r["doc_id"]: r["svg"].count("<rect") for r in svgs} == want
