@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tree import doc_window, heading_level
-
-MAX_LEVELS = 8
+from .tree import doc_window, heading_level, heading_levels
 
 
 def count_tokens(text: Column) -> Column:
@@ -22,17 +20,19 @@ def count_tokens(text: Column) -> Column:
 def heading_scope(nodes: DataFrame) -> DataFrame:
     """``nodes`` with headings array<string>: the open headings above each node, outermost first.
 
-    A heading of level k (title 0) closes all of level k and deeper; levels from MAX_LEVELS - 1 on count as one."""
-    level = heading_level(F.col("label"), F.col("heading_level"))
-    n = nodes.withColumn("h", F.when(level.isNotNull(), F.least(level, F.lit(MAX_LEVELS - 1)))).withColumn("rank", F.row_number().over(doc_window()))
+    A heading of level k (title 0) closes all of level k and deeper."""
+    levels = heading_levels(nodes)
+    if not levels:
+        return nodes.withColumn("rank", F.row_number().over(doc_window())).withColumn("headings", F.array().cast("array<string>"))
+    n = nodes.withColumn("h", heading_level(F.col("label"), F.col("heading_level"))).withColumn("rank", F.row_number().over(doc_window()))
     w = doc_window().rowsBetween(Window.unboundedPreceding, -1)
-    n = n.select("*", *[F.last(F.when(F.col("h") == k, F.struct("rank", "text")), ignorenulls=True).over(w).alias(f"l{k}") for k in range(MAX_LEVELS)])
-    at = [F.coalesce(F.col(f"l{k}.rank"), F.lit(0)) for k in range(MAX_LEVELS)]
-    is_open = [F.col(f"l{k}").isNotNull() & (at[k] > (F.greatest(*at[:k]) if k > 1 else at[0] if k else F.lit(0))) for k in range(MAX_LEVELS)]
+    n = n.select("*", *[F.last(F.when(F.col("h") == k, F.struct("rank", "text")), ignorenulls=True).over(w).alias(f"l{i}") for i, k in enumerate(levels)])
+    at = [F.coalesce(F.col(f"l{i}.rank"), F.lit(0)) for i in range(len(levels))]
+    is_open = [F.col(f"l{i}").isNotNull() & (at[i] > (F.greatest(*at[:i]) if i > 1 else at[0] if i else F.lit(0))) for i in range(len(levels))]
     # a heading is not under one of its own level or deeper
-    is_open = [c & (F.col("h").isNull() | (F.col("h") > k)) for k, c in enumerate(is_open)]
-    found = F.filter(F.array(*[F.when(is_open[k], F.col(f"l{k}.text")) for k in range(MAX_LEVELS)]), lambda x: x.isNotNull())
-    return n.withColumn("headings", found).drop("h", *[f"l{k}" for k in range(MAX_LEVELS)])
+    is_open = [c & (F.col("h").isNull() | (F.col("h") > k)) for k, c in zip(levels, is_open, strict=True)]
+    found = F.filter(F.array(*[F.when(c, F.col(f"l{i}.text")) for i, c in enumerate(is_open)]), lambda x: x.isNotNull())
+    return n.withColumn("headings", found).drop("h", *[f"l{i}" for i in range(len(levels))])
 
 
 def hierarchical_chunks(nodes: DataFrame, text: Column | None = None) -> DataFrame:

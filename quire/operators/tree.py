@@ -215,6 +215,12 @@ def replace(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return renumber(added.join(gone, ["doc_id", "ref"], "left_anti"))
 
 
+def heading_levels(nodes: DataFrame) -> list[int]:
+    """The levels that headings of ``nodes`` have, ascending."""
+    level = heading_level(F.col("label"), F.col("heading_level")).alias("h")
+    return sorted(r["h"] for r in nodes.select(level).filter("h is not null").distinct().collect())
+
+
 def hierarchize(nodes: DataFrame) -> DataFrame:
     """(flat) top-level nodes move under the nearest heading before them that is open: a heading closes those of its level and deeper.
 
@@ -224,14 +230,14 @@ def hierarchize(nodes: DataFrame) -> DataFrame:
     lvl = heading_level(F.col("label"), F.col("heading_level"))
     top = top.withColumn("h", lvl)
     # the last heading of each level before a node, as (position, ref); open if it is after every last one of a lower level
-    most = 7
-    lasts = [F.last(F.when(F.col("h") == k, F.struct("child_pos", "ref")), ignorenulls=True).over(w).alias(f"l{k}") for k in range(most)]
+    levels = heading_levels(top)
+    lasts = [F.last(F.when(F.col("h") == k, F.struct("child_pos", "ref")), ignorenulls=True).over(w).alias(f"l{i}") for i, k in enumerate(levels)]
     top = top.select("*", *lasts)
     parent = F.lit(None).cast("string")
-    for k in range(most):
-        lower = [F.coalesce(F.col(f"l{j}.child_pos"), F.lit(-1)) for j in range(k)]
-        is_open = F.col(f"l{k}").isNotNull() & (F.col(f"l{k}.child_pos") > (F.greatest(*lower) if len(lower) > 1 else lower[0] if lower else F.lit(-1)))
-        parent = F.when(is_open & (F.col("h").isNull() | (F.col("h") > k)), F.col(f"l{k}.ref")).otherwise(parent)
+    for i, k in enumerate(levels):
+        lower = [F.coalesce(F.col(f"l{j}.child_pos"), F.lit(-1)) for j in range(i)]
+        is_open = F.col(f"l{i}").isNotNull() & (F.col(f"l{i}.child_pos") > (F.greatest(*lower) if len(lower) > 1 else lower[0] if lower else F.lit(-1)))
+        parent = F.when(is_open & (F.col("h").isNull() | (F.col("h") > k)), F.col(f"l{i}.ref")).otherwise(parent)
     moved = top.select("doc_id", "ref", F.coalesce(parent, F.lit(BODY)).alias("new_parent"))
     out = nodes.join(moved, ["doc_id", "ref"], "left").withColumn("at", F.col("child_pos") + F.when((F.col("parent_ref") == BODY) & (F.col("new_parent") != BODY), F.lit(1 << 20)).otherwise(F.lit(0)))
     return renumber(out.withColumn("parent_ref", F.coalesce("new_parent", "parent_ref")).drop("new_parent"), "at").drop("at")
