@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # the runs that HEX's matches keep after the length test
 KINDS = ("assign", "access", "hex", "format")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 MAX_SYMBOLS = 64  # of a training string; scoring reads whole tokens
 
@@ -73,7 +74,7 @@ class Automaton:
                     a.count[q][c] = 0
                 a.count[q][c] += 1
                 q = a.to[q][c]
-            a.ends[q] += 1
+            a.ends[q] += len(w) <= MAX_SYMBOLS  # a cut is no end
         return a
 
     def compatible(self, p: int, q: int, alpha: float) -> bool:
@@ -155,6 +156,10 @@ class Ordinary:
                 self.one[a] = self.one.get(a, 0) + 1
 
     def score(self, word: str) -> float:
+        """A word in capitals is as ordinary as it is in small letters, but for one in about 50 words written so."""
+        return max(self._pairs(word), self._pairs(word.lower()) - 4.0) if word.isupper() else self._pairs(word)
+
+    def _pairs(self, word: str) -> float:
         return sum(math.log((self.pair.get(a + b, 0) + 0.5) / (self.one.get(a, 0) + 48)) for a, b in zip("^" + word, word + "$", strict=True))
 
 
@@ -196,7 +201,7 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_of: i
             for t in b.column(0).to_pylist():
                 spans = base_spans(t or "")
                 kind += [KINDS[k] for _, k, _, _ in spans]
-                value += [v[:MAX_SYMBOLS] for *_, v in spans]
+                value += [v[: MAX_SYMBOLS + 1] for *_, v in spans]  # one more tells of a cut
                 secret = {v for *_, v in spans}
                 plain = {w[:MAX_SYMBOLS] for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "")} - secret
                 # long mixed tokens are candidates, not ordinary ones
@@ -224,6 +229,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 1
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(texts):
+        advantage = lru_cache(100_000)(model.advantage)
         out = []
         for t in texts.to_pylist():
             if not t:
@@ -232,9 +238,18 @@ def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 1
             spans = [(s, k, e) for s, k, e, _ in base_spans(t)]
             taken = sorted((s, e) for s, _, e in spans)
             for m in CANDIDATE.finditer(t):
-                w = m[0]
-                if _MIXED.match(w) and not any(s < m.end() and m.start() < e for s, e in taken) and model.advantage(w) >= threshold:
+                inside = [(max(s, m.start()), min(e, m.end())) for s, e in taken if s < m.end() and m.start() < e]
+                # a token that holds base spans must be explained better as a whole than they are, or a part beside them
+                known = max((advantage(t[s:e]) for s, e in inside), default=0.0)
+                at, beside = m.start(), []
+                for s, e in inside:
+                    beside.append((at, s))
+                    at = max(at, e)
+                beside = [(s, e) for s, e in [*beside, (at, m.end())] if s < e]
+                if beside and advantage(m[0]) >= threshold + max(known, 0.0):
                     spans.append((m.start(), 3, m.end()))
+                elif inside:
+                    spans += [(s, 3, e) for s, e in beside if e - s >= 12 and advantage(t[s:e]) >= threshold]
             out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
         return [pa.array(out, kind)]
 
