@@ -1,22 +1,18 @@
-"""Chunkers over nodes with paths. Token counts default to runs of non-space characters, an expression; other tokenizers
-are Arrow functions that give a count column."""
+"""Chunkers over nodes with paths. Tokens are words, counted by an expression, unless a tokenizer of functions.tokens is given."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import Starts, count_tokens, with_count, words
 from .tree import doc_window, heading_level, heading_levels
 
 
-def count_tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+"))
-
-
 def heading_scope(nodes: DataFrame) -> DataFrame:
     """``nodes`` with headings array<string>: the open headings above each node, outermost first.
 
@@ -55,106 +51,106 @@ def contextualize(chunks: DataFrame, delim: str = "\n") -> DataFrame:
     return chunks.withColumn("context", F.concat_ws(delim, F.when(F.size("headings") > 0, F.array_join("headings", delim)), F.col("text")))
 
 
-def merge_peers(chunks: DataFrame, max_tokens: int, delim: str = "\n") -> DataFrame:
-    """Neighbouring chunks of equal headings become one while headings and texts together hold at most ``max_tokens``."""
-    c = chunks.withColumn("n", count_tokens(F.col("text"))).withColumn("hn", count_tokens(F.array_join("headings", "\n")))
-    rows = F.array_sort(F.collect_list(F.struct("chunk_ix", "text", "headings", "doc_items", "n", "hn")))
-    g = c.groupBy("doc_id").agg(rows.alias("rows"))
-    # the fold gives each chunk the number of its window: (windows so far, their tokens, headings of the last)
-    kind = "struct<ids: array<int>, n: int, headings: array<string>, w: int>"
-    start = F.from_json(F.lit('{"ids": [], "n": 0, "w": -1}'), kind)
+def merge_peers(chunks: DataFrame, max_tokens: int, delim: str = "\n", starts: Starts = words) -> DataFrame:
+    """Neighbouring chunks of equal headings become one while headings and texts together hold at most ``max_tokens``.
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = (acc["w"] >= 0) & (acc["headings"] == x["headings"]) & (acc["n"] + x["n"] + x["hn"] <= max_tokens)
-        joins = F.coalesce(joins, F.lit(False))
-        w = F.when(joins, acc["w"]).otherwise(acc["w"] + 1)
-        n = F.when(joins, acc["n"] + x["n"]).otherwise(x["n"])
-        return F.struct(F.array_append(acc["ids"], w).alias("ids"), n.cast("int").alias("n"), x["headings"].alias("headings"), w.cast("int").alias("w")).cast(kind)
-
-    g = g.withColumn("ids", F.aggregate("rows", start, step, lambda a: a["ids"]))
-    e = g.select("doc_id", F.posexplode(F.arrays_zip("rows", "ids")).alias("pos", "x")).select("doc_id", "pos", F.col("x.ids").alias("w"), "x.rows.*")
-    m = e.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "doc_items"))).alias("p"), F.min_by("headings", "pos").alias("headings"))
-    return m.select("doc_id", F.col("w").cast("long").alias("chunk_ix"), F.array_join(F.transform("p", lambda x: x["text"]), delim).alias("text"), "headings", F.flatten(F.transform("p", lambda x: x["doc_items"])).alias("doc_items"))
+    The greedy pass over a document sees token counts only; texts meet again by the number of their window."""
+    c = with_count(chunks.withColumn("heading_text", F.array_join("headings", "\n")), "text", starts, "n")
+    c = with_count(c, "heading_text", starts, "hn")
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    before = F.lag("headings").over(Window.partitionBy("doc_id").orderBy("chunk_ix"))
+    sizes = c.select("doc_id", "chunk_ix", "n", "hn", F.coalesce(F.col("headings") == before, F.lit(False)).alias("same"))
 
+    def windows(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk_ix")
+        out, window, held = [], -1, 0
+        for n, hn, same in zip(*(t.column(x).to_pylist() for x in ("n", "hn", "same")), strict=True):
+            fits = same and window >= 0 and held + n + hn <= max_tokens
+            window, held = (window, held + n) if fits else (window + 1, n)
+            out.append(window)
+        return pa.table({"doc_id": t.column("doc_id"), "chunk_ix": t.column("chunk_ix"), "w": pa.array(out, pa.int64())})
 
-# ------------------------------------------------------------------------- lines
-def _words(text: str) -> int:
-    return len(re.findall(r"\S+", text))
-
-
-class LinePacker:
-    """Packs whole lines into chunks of at most ``limit`` tokens, with an optional prefix on each chunk.
-
-    Lines that don't fit an empty chunk are cut, at a space where one is, and the cut parts start on a line of their own
-    (that line end isn't counted). A prefix over the limit comes first, as chunks of its own, and is then left out;
-    with ``omit_prefix`` it is left out wherever only that lets a line fit."""
-
-    def __init__(self, limit: int, prefix: str = "", omit_prefix: bool = False, count: Callable[[str], int] = _words):
-        self.limit, self.count, self.omit = limit, count, omit_prefix
-        self.prefix, self.cost, self.first = prefix, count(prefix) if prefix else 0, []
-        if self.cost > limit:
-            rest = prefix
-            while rest:
-                head, rest = self.cut(rest, limit)
-                if not head:
-                    head, rest = rest[0], rest[1:]
-                self.first.append(head)
-            self.prefix, self.cost = "", 0
-
-    def cut(self, text: str, room: int) -> tuple[str, str]:
-        """The longest head of at most ``room`` tokens, back to the last space if it has one."""
-        if room <= 0 or not text:
-            return "", text
-        if self.count(text) <= room:
-            return text, ""
-        low, high = 0, len(text)
-        while low < high:  # counts grow with the head
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.count(text[:mid]) <= room else (low, mid - 1)
-        space = text.rfind(" ", 0, low)
-        at = space if space > 0 else low
-        return text[:at], text[at:]
-
-    def pack(self, lines: list[str]) -> list[str]:
-        out, now, used = list(self.first), self.prefix, self.cost
-        if self.omit and self.cost and lines and self.count(lines[0]) + self.cost > self.limit:
-            out.append(self.prefix)
-            now, used = "", 0
-        for line in lines:
-            rest = line
-            while True:
-                n = self.count(rest)
-                if n <= self.limit - used:
-                    now, used = now + rest, used + n
-                    break
-                if n + self.cost <= self.limit:
-                    out.append(now)
-                    now, used = self.prefix, self.cost
-                elif self.omit and n <= self.limit and self.cost:
-                    if now and now != self.prefix:
-                        out.append(now)
-                    now, used = "", 0
-                else:
-                    head, rest = self.cut(rest, self.limit - used)
-                    if not head:
-                        head, rest = rest[0], rest[1:]
-                    out.append(now + "\n" + head)
-                    now, used = ("", 0) if self.omit else (self.prefix, self.cost)
-        if now and (not self.cost or now != self.prefix):
-            out.append(now)
-        return out
+    w = sizes.groupBy("doc_id").applyInArrow(windows, f"doc_id {kind}, chunk_ix long, w long")
+    e = c.select("doc_id", "chunk_ix", "text", "headings", "doc_items").join(w, ["doc_id", "chunk_ix"])
+    m = e.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list(F.struct("chunk_ix", "text", "doc_items"))).alias("p"), F.min_by("headings", "chunk_ix").alias("headings"))
+    return m.select("doc_id", F.col("w").alias("chunk_ix"), F.array_join(F.transform("p", lambda x: x["text"]), delim).alias("text"), "headings", F.flatten(F.transform("p", lambda x: x["doc_items"])).alias("doc_items"))
 
 
-def line_chunks(texts: DataFrame, max_tokens: int, prefix: str = "", omit_prefix: bool = False, count: Callable[[str], int] = _words) -> DataFrame:
+# ------------------------------------------------------------------------- lines
+_SPACE = " \t\n\r\f\v"
+
+
+def line_windows(text: str, limit: int, cost: int = 0, bare: bool = False, starts: Starts = words):
+    """(from, to, cut, prefixed): the greedy windows of a text, in characters.
+
+    All tokens are numbered once; a window of ``limit - cost`` tokens ends before the line that doesn't fit, if that line
+    fits a window of its own, and within it otherwise (``cut``: at its last white space, if there is one). With ``bare``
+    a line that only fits without the ``cost`` of the prefix opens a window of ``limit`` tokens that has none."""
+    at, lines = list(starts(text)), [0, *(m.end() for m in re.finditer("\n", text) if m.end() < len(text))]
+    first = [bisect_right(at, x - 1) for x in lines]  # each line's first token
+    total = len(at)
+    if not total:
+        return
+    size = lambda line, p: (first[line + 1] if line + 1 < len(first) else total) - p
+    p, char, plain = 0, 0, False
+    while char < len(text):
+        line = bisect_right(lines, char) - 1
+        own = size(line, p)
+        alone = bare and cost > 0 and (plain or limit - cost < own <= limit)
+        room = max(1, limit if alone else limit - cost)
+        if p + room >= total:
+            yield char, len(text), False, not alone
+            return
+        over = bisect_right(first, p + room) - 1  # the line that holds the first token too many; of empty ones the last
+        largest = limit if bare else max(1, limit - cost)
+        if lines[over] > char and (first[over] == p + room or size(over, first[over]) <= largest):
+            p, to, plain = first[over], lines[over], False
+        else:
+            to = at[p + room]
+            low, k = max(lines[over], char), to
+            while k > low and text[k] not in _SPACE and text[k - 1] not in _SPACE:
+                k -= 1
+            if k > low and text[k] not in _SPACE and text[low:k].strip(_SPACE):
+                to = k - 1
+            to = max(to, char + 1)  # tokens may share a character
+            p, plain = bisect_right(at, to - 1), bare
+            yield char, to, True, not alone
+            char = to
+            continue
+        yield char, to, False, not alone
+        char = to
+
+
+def pack_lines(text: str, limit: int, prefix: str = "", omit_prefix: bool = False, starts: Starts = words) -> list[str]:
+    """Chunks of at most ``limit`` tokens of whole lines, each after ``prefix``. The part of a line that had to be cut starts
+    on a line of its own. A prefix over the limit comes first, in chunks of its own, and is then left out; with
+    ``omit_prefix`` it is left out wherever only that lets a line fit, and after a cut."""
+    cost = len(starts(prefix)) if prefix else 0
+    out: list[str] = []
+    if cost > limit:
+        out += [prefix[a:b] for a, b, *_ in line_windows(prefix.replace("\n", " "), limit, starts=starts)]
+        prefix, cost = "", 0
+    for a, b, cut, prefixed in line_windows(text, limit, cost, omit_prefix, starts):
+        if a == 0 and not prefixed and prefix:
+            out.append(prefix)  # it is said once, at least
+        head = prefix if prefixed else ""
+        if cut:
+            low = text.rfind("\n", a, b) + 1
+            out.append(head + text[a:low] + "\n" + text[max(a, low) : b] if low > a else head + "\n" + text[a:b])
+        else:
+            out.append(head + text[a:b])
+    return out
+
+
+def line_chunks(texts: DataFrame, max_tokens: int, prefix: str = "", omit_prefix: bool = False, starts: Starts = words) -> DataFrame:
     """(doc_id, chunk_ix, text) of texts(doc_id, text): a narrow Arrow pass, one document at a time."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        packer = LinePacker(max_tokens, prefix, omit_prefix, count)
         for b in batches:
             doc, ix, out = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i, c in enumerate(packer.pack(t.splitlines(True)) if t else []):
+                for i, c in enumerate(pack_lines(t, max_tokens, prefix, omit_prefix, starts) if t else []):
                     doc.append(d)
                     ix.append(i)
                     out.append(c)
@@ -198,30 +194,29 @@ _SEPARATORS = (r"\n\s*\n", r"\n", r"(?<=[.!?;])\s+", r"\s+")
 _RULE = re.compile(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 
 
-def split_text(text: str, limit: int, count: Callable[[str], int] = _words, level: int = 0) -> list[str]:
+def split_text(text: str, limit: int, starts: Starts = words, level: int = 0) -> list[str]:
     """Pieces of at most ``limit`` tokens: cut at blank lines, then line ends, sentences, spaces, and characters at last;
     neighbours are joined again while they fit. (This stands for a splitter library: its cuts differ from that one's.)"""
-    if count(text) <= limit:
+    if len(starts(text)) <= limit:
         return [text] if text.strip() else []
     if level == len(_SEPARATORS):
-        packer = LinePacker(limit, count=count)
-        out = []
-        while text:
-            head, rest = packer.cut(text, limit)
-            head, text = (head, rest) if head else (text[0], text[1:])
-            out.append(head)
-        return out
+        return [text[a:b] for a, b, *_ in line_windows(text, limit, starts=starts)]
     parts, at = [], 0
     for m in re.finditer(_SEPARATORS[level], text):
         parts.append(text[at : m.end()])
         at = m.end()
     out: list[str] = []
+    sizes: list[int] = []
     for p in [*parts, text[at:]]:
-        for piece in split_text(p, limit, count, level + 1):
-            if out and count(out[-1] + piece) <= limit:
+        for piece in split_text(p, limit, starts, level + 1):
+            n = len(starts(piece))
+            # the sum is checked first, so a joined text is seldom counted again
+            if out and sizes[-1] + n <= limit + 1 and (m := len(starts(out[-1] + piece))) <= limit:
                 out[-1] += piece
+                sizes[-1] = m
             else:
                 out.append(piece)
+                sizes.append(n)
     return [p.strip() for p in out if p.strip()] if level == 0 else out
 
 
@@ -233,7 +228,7 @@ def table_header(text: str) -> tuple[list[str], list[str]]:
     return [], lines
 
 
-def split_oversize(chunks: DataFrame, max_tokens: int, repeat_header: bool = True, count: Callable[[str], int] = _words) -> DataFrame:
+def split_oversize(chunks: DataFrame, max_tokens: int, repeat_header: bool = True, starts: Starts = words) -> DataFrame:
     """``chunks`` in which those of more than ``max_tokens`` tokens, headings included, are split; tables between rows, with
     their header on every part. Headings that leave no room are dropped from the chunk. A narrow pass."""
     kind = chunks.schema["doc_id"].dataType.simpleString()
@@ -242,18 +237,19 @@ def split_oversize(chunks: DataFrame, max_tokens: int, repeat_header: bool = Tru
         for b in batches:
             rows = []
             for d, i, text, heads, refs in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                used = sum(map(count, heads or []))
+                used = sum(len(starts(h)) for h in heads or [])
                 if used >= max_tokens:
                     heads, used = [], 0
                 room = max_tokens - used
-                if count(text) <= room:
+                if len(starts(text)) <= room:
                     parts = [text]
                 else:
                     head, body = table_header(text)
                     if head:
-                        parts = LinePacker(room, "".join(head) if repeat_header else "", count=count).pack(body if repeat_header else head + body)
+                        top = "".join(head)
+                        parts = pack_lines("".join(body), room, top, starts=starts) if repeat_header else pack_lines(top + "".join(body), room, starts=starts)
                     else:
-                        parts = split_text(text, room, count)
+                        parts = split_text(text, room, starts)
                 rows += [(d, i, k, p, heads, refs) for k, p in enumerate(parts)]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
@@ -264,7 +260,7 @@ def split_oversize(chunks: DataFrame, max_tokens: int, repeat_header: bool = Tru
     return out.withColumn("chunk_ix", (F.row_number().over(w) - 1).cast("long")).drop("part")
 
 
-def hybrid_chunks(nodes: DataFrame, max_tokens: int, merge: bool = True) -> DataFrame:
+def hybrid_chunks(nodes: DataFrame, max_tokens: int, merge: bool = True, repeat_header: bool = True, starts: Starts = words) -> DataFrame:
     """Hierarchical chunks, split where they are too long, then neighbours of equal headings merged while they fit."""
-    c = split_oversize(hierarchical_chunks(nodes), max_tokens)
-    return merge_peers(c, max_tokens) if merge else c
+    c = split_oversize(hierarchical_chunks(nodes), max_tokens, repeat_header, starts)
+    return merge_peers(c, max_tokens, starts=starts) if merge else c

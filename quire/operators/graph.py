@@ -30,17 +30,22 @@ def pairs(cells: DataFrame, links: DataFrame) -> DataFrame:
     return k.join(c.withColumnRenamed("cell_id", "target_cell_id").withColumnRenamed("text", "value"), ["doc_id", "target_cell_id"]).select("doc_id", "key", "value")
 
 
-def tiles(box: Column, size: float) -> Column:
+def tiles(box: Column, size: Column) -> Column:
     """The tiles of a page that a box touches."""
     n = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
     return F.flatten(F.transform(n(box["l"], box["r"]), lambda x: F.transform(n(box["t"], box["b"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
-def iou_match(left: DataFrame, right: DataFrame, least: float = 0.01, tile: float = 50.0) -> DataFrame:
+def iou_match(left: DataFrame, right: DataFrame, least: float = 0.01) -> DataFrame:
     """(doc_id, page_no, left_id, right_id, iou): for each box of ``left`` the one of ``right`` that overlaps it most (of
-    equal ones the last), over ``least``. Boxes meet by the tiles that both touch, so a page isn't compared all with all."""
-    a = left.select("doc_id", "page_no", F.col("id").alias("left_id"), F.col("box").alias("x"), F.explode(tiles(F.col("box"), tile)).alias("tile"))
-    b = right.select("doc_id", "page_no", F.col("id").alias("right_id"), F.col("box").alias("y"), F.explode(tiles(F.col("box"), tile)).alias("tile"))
+    equal ones the last), over ``least``. Boxes meet by the tiles that both touch, so a page isn't compared all with all.
+    A tile has the larger mean side of the page's boxes, but no less than an eighth of the largest, whatever its units:
+    a box touches 81 tiles at most."""
+    side = F.greatest(g.width(F.col("box")), g.height(F.col("box")))
+    both = left.select("doc_id", "page_no", "box").unionByName(right.select("doc_id", "page_no", "box"))
+    size = both.groupBy("doc_id", "page_no").agg(F.greatest(F.avg(side), F.max(side) / 8, F.lit(1e-9)).alias("size"))
+    spread = lambda d, n, x: d.join(size, ["doc_id", "page_no"]).select("doc_id", "page_no", F.col("id").alias(n), F.col("box").alias(x), F.explode(tiles(F.col("box"), F.col("size"))).alias("tile"))
+    a, b = spread(left, "left_id", "x"), spread(right, "right_id", "y")
     j = a.join(b, ["doc_id", "page_no", "tile"]).select("doc_id", "page_no", "left_id", "right_id", g.iou(F.col("x"), F.col("y"), strict=False).alias("iou")).filter(F.col("iou") > least)
     return j.groupBy("doc_id", "page_no", "left_id").agg(F.max(F.struct("iou", "right_id")).alias("m")).select("doc_id", "page_no", "left_id", "m.right_id", "m.iou")
 

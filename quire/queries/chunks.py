@@ -35,8 +35,10 @@ def hybrid_chunks(spark, sf):
 
 
 def line_chunks(spark, sf):
-    """Chunks of at most 60 words, each with its length; documents of up to 60 words are one."""
-    return c.line_chunks(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 60)
+    """Chunks of at most 60 words of whole lines: how many words each holds, and their digest."""
+    k = c.line_chunks(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 60)
+    w = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
+    return k.select("doc_id", "chunk_ix", F.size(w).alias("n_words"), F.sha1(F.array_join(w, " ")).alias("words_sha1"))
 
 
 def page_chunks(spark, sf):
@@ -94,8 +96,16 @@ ORACLE = {
     "contextualize_chunks": tq.WEB + _WEBC + "SELECT doc_id, chunk_ix, CASE WHEN h IS NULL THEN text ELSE h || chr(10) || text END context FROM ch",
     "hybrid_merge": _fold(tq.WEB + _WEBC, 120) + "SELECT f.doc_id, f.win::BIGINT chunk_ix, sha1(string_agg(c.text, chr(10) ORDER BY f.chunk_ix)) text_sha1, coalesce(first(c.h), '') headings, count(*)::INT n_items FROM RECURSIVE_FOLD f JOIN fc c USING (doc_id, chunk_ix) GROUP BY 1, 2",
     "page_chunks": tq.WEB + "SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY child_pos) AS text, count(*)::INT n_items FROM w WHERE layer = 'body' GROUP BY 1, 2",
-    "expand_tree": tq.GEO + ", ki AS (SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 chunk_ix FROM s WHERE label = 'list_item') SELECT k.doc_id, chunk_ix, sum(length(s.text) + 1)::INT chars, sha1(string_agg(s.text || chr(10), '' ORDER BY s.path)) text_sha1 FROM ki k JOIN s ON s.doc_id = k.doc_id AND s.path[1] = k.path[1] WHERE chunk_ix % 40 = 0 GROUP BY 1, 2",
-    "expand_page": tq.WEB + _WEBC + "SELECT ch.doc_id, ch.chunk_ix, string_agg(w.text, chr(10) || chr(10) ORDER BY w.child_pos) AS text FROM ch JOIN w ON w.doc_id = ch.doc_id AND w.page_no = ch.page_no AND w.layer = 'body' WHERE chunk_ix = 3 GROUP BY 1, 2",
+    "expand_tree": tq.GEO + ", ki AS (SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 chunk_ix FROM s WHERE label = 'list_item') SELECT k.doc_id, chunk_ix, sum(length(s.text) + 1)::INT chars, sha1(string_agg(s.text || chr(10), '' ORDER BY s.path)) text_sha1 FROM ki k JOIN s ON s.doc_id = k.doc_id AND s.path[1] = k.path[1] GROUP BY 1, 2",
+    "expand_page": tq.WEB + _WEBC + "SELECT ch.doc_id, ch.chunk_ix, string_agg(w.text, chr(10) || chr(10) ORDER BY w.child_pos) AS text FROM ch JOIN w ON w.doc_id = ch.doc_id AND w.page_no = ch.page_no AND w.layer = 'body' GROUP BY 1, 2",
+    "line_chunks": r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) i FROM documents),
+ s AS (SELECT doc_id, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') w FROM l), b AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) ls FROM s WHERE len(w) > 0),
+ t AS (SELECT doc_id, CAST(ls + j AS BIGINT) p, w[j + 1] word, CAST(ls AS BIGINT) ls, CAST(ls + len(w) AS BIGINT) le FROM (SELECT *, unnest(range(0, len(w))) j FROM b)),
+ n AS (SELECT doc_id, count(*) n, list(word ORDER BY p) words FROM t GROUP BY 1),
+ nx AS (SELECT t.doc_id, t.p, least(t.p + 60, n.n) e, q.ls, q.le FROM t JOIN n USING (doc_id) LEFT JOIN t q ON q.doc_id = t.doc_id AND q.p = t.p + 60),
+ nd AS (SELECT doc_id, p, CASE WHEN ls > p AND le - ls <= 60 THEN ls ELSE e END z FROM nx),
+ r AS (SELECT doc_id, 0::BIGINT ix, 0::BIGINT p, z FROM nd WHERE p = 0 UNION ALL SELECT nd.doc_id, r.ix + 1, nd.p, nd.z FROM r JOIN nd ON nd.doc_id = r.doc_id AND nd.p = r.z)
+ SELECT doc_id, ix chunk_ix, (z - p)::INT n_words, sha1(array_to_string(words[p + 1 : z], ' ')) words_sha1 FROM r JOIN n USING (doc_id)""",
     "token_counts": "SELECT doc_id, " + _N.format("text") + "::BIGINT n_tokens FROM documents",
     "conversation_chunks": _fold(_CONV, 200) + "SELECT f.doc_id, f.win::BIGINT chunk_ix, sha1(string_agg(c.text, chr(10) ORDER BY f.chunk_ix)) text_sha1, count(*)::INT n_items FROM RECURSIVE_FOLD f JOIN fc c USING (doc_id, chunk_ix) GROUP BY 1, 2",
 }

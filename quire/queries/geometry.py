@@ -34,6 +34,9 @@ BOXES = """WITH s AS (SELECT l_orderkey k, CAST(l_linenumber AS INT) line, l_lin
 b AS (SELECT *, CASE WHEN bl THEN v1 ELSE v0 END t, CASE WHEN bl THEN v0 ELSE v1 END b, CASE WHEN bl THEN w1 ELSE w0 END t2, CASE WHEN bl THEN w0 ELSE w1 END b2,
  greatest(0, least(r, r2) - greatest(l, l2)) * greatest(0, least(v1, w1) - greatest(v0, w0)) inter, (r-l)*(v1-v0) a1, (r2-l2)*(w1-w0) a2 FROM s) """
 
+#: all of them, turned to the top-left origin of the pages
+TURNED = "(SELECT * REPLACE (CASE WHEN bl THEN 120 - v1 ELSE v0 END AS v0, CASE WHEN bl THEN 120 - v0 ELSE v1 END AS v1, CASE WHEN bl THEN 120 - w1 ELSE w0 END AS w0, CASE WHEN bl THEN 120 - w0 ELSE w1 END AS w1) FROM b)"
+
 r6 = lambda c: F.round(c, 9)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph as gr
-from .geometry import BOXES, boxes, page
+from .geometry import BOXES, TURNED, boxes, page
 
 
 def _graph(spark, sf):
@@ -75,7 +75,7 @@ ORACLE = {
     "kv_pairs": _G + "SELECT doc_id, n AS \"key\", s AS \"value\" FROM c WHERE k <> 11",
     "kv_roots": _G + "SELECT doc_id, k*2 cell_id, n AS text FROM c WHERE k <> 11 UNION ALL SELECT doc_id, k*2+1, s FROM c WHERE k % 2 = 1",
     "broken_links": _G + "SELECT doc_id, 'to_value' AS label, k*2 source_cell_id, k*2+1 target_cell_id FROM c WHERE k = 11",
-    "kv_iou_match": BOXES + """, t AS (SELECT * FROM b WHERE NOT bl), m AS (SELECT k, line, min((l, v0, r, v1)) x FROM t GROUP BY 1, 2), n AS (SELECT k, line, min((l2, w0, r2, w1)) y FROM t GROUP BY 1, 2),
+    "kv_iou_match": BOXES + f", t AS (SELECT * FROM {TURNED})" + """, m AS (SELECT k, line, min((l, v0, r, v1)) x FROM t GROUP BY 1, 2), n AS (SELECT k, line, min((l2, w0, r2, w1)) y FROM t GROUP BY 1, 2),
  j AS (SELECT m.k, m.line a, n.line c, greatest(0, least(x[3], y[3]) - greatest(x[1], y[1])) * greatest(0, least(x[4], y[4]) - greatest(x[2], y[2])) i, (x[3]-x[1])*(x[4]-x[2]) a1, (y[3]-y[1])*(y[4]-y[2]) a2 FROM m JOIN n ON m.k = n.k),
  q AS (SELECT k, a, c, i/(a1+a2-i+1e-6) iou FROM j) SELECT k doc_id, a left_id, (list(c ORDER BY iou DESC, c DESC))[1] right_id, round(max(iou), 9) iou FROM q WHERE iou > 0.01::DOUBLE GROUP BY 1, 2""",
     "merge_ranges": _R + "SELECT doc_id, a AS \"start\", b AS \"end\" FROM z",

@@ -12,7 +12,7 @@ from ..sources import markup
 from ..sources import tables as src
 from ..storage import materialize
 from . import tree as tq
-from .geometry import BOXES, boxes, page
+from .geometry import BOXES, TURNED, boxes, page
 
 
 def geo_lists(spark, sf):
@@ -139,7 +139,7 @@ ORACLE = {
     "table_of_contents": tq.GEO + "SELECT doc_id, lvl AS level, (row_number() OVER (PARTITION BY doc_id ORDER BY path))::INT pos, text FROM s WHERE lvl <= 1",
     "parse_doctags": tq.WEB + ", b AS (SELECT *, max(page_no) OVER (PARTITION BY doc_id ORDER BY child_pos) pm, min(page_no) OVER (PARTITION BY doc_id) p0 FROM w WHERE layer = 'body'), d AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id ORDER BY pm))::INT pg FROM b) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY child_pos) - 1 pos, label, CASE WHEN label = 'title' THEN 0::INT END heading_level, pg page_no, text FROM d",
     "parse_vtt": _CUES + "SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY b) - 1 cue_ix, (b*3)::DOUBLE start_time, (b*3+2.5)::DOUBLE end_time, voice, text FROM c",
-    "draw_list": BOXES + """, p AS (SELECT k doc_id, line, min((l, v0, r, v1)) x FROM b WHERE NOT bl GROUP BY 1, 2), q AS (SELECT *, (row_number() OVER w)::INT z, (x[1]+x[3])/2 cx, (x[2]+x[4])/2 cy, lag((x[1]+x[3])/2) OVER w px, lag((x[2]+x[4])/2) OVER w py FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+    "draw_list": BOXES + f", p AS (SELECT k doc_id, line, min((l, v0, r, v1)) x FROM {TURNED} GROUP BY 1, 2)" + """, q AS (SELECT *, (row_number() OVER w)::INT z, (x[1]+x[3])/2 cx, (x[2]+x[4])/2 cy, lag((x[1]+x[3])/2) OVER w px, lag((x[2]+x[4])/2) OVER w py FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line))
  SELECT doc_id, 1::INT page_no, z, 'rect' shape, 'text' AS label, x[1] l, x[2] t, x[3] r, x[4] b FROM q UNION ALL SELECT doc_id, 1::INT, z, 'arrow', 'reading_order', px, py, cx, cy FROM q WHERE px IS NOT NULL""",
     "cue_order": "WITH c AS (SELECT conv_id doc_id, turn seq, length(text) n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) p FROM conversations WHERE text IS NOT NULL) SELECT doc_id, seq::INT seq FROM c WHERE n < p",
     "text_functions": "WITH t AS (SELECT *, p_name || '_#1&' || p_type AS text FROM part) SELECT p_partkey k, " + _LATEX + " latex, replace(text, '&', '&amp;') html, replace(text, '_', chr(92) || '_') underscores, upper(left(p_type, 1)) || lower(substr(p_type, 2)) human, " + _TS.format("CAST(round_even(p_retailprice*1000, 0) AS BIGINT)") + " stamp FROM t",

@@ -1,4 +1,4 @@
-"""Queries over all of their input: against their SQL, from which the cut that it still carries is taken here."""
+"""What SQL does not say of the drawings: every line of an order has its box."""
 
 import os
 
@@ -7,12 +7,7 @@ import pytest
 
 from quire import queries
 
-from .test_oracles import SF, plain
-
-ORACLE = queries.oracle_sql()
-TABLES = "table_grid table_markdown table_markdown_compact table_html table_otsl table_triplets otsl_parse table_headers table_remove_rows table_insert_rows row_boxes column_boxes table_from_regions".split()
-
-
+from .test_oracles import SF
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -21,33 +16,6 @@ def duck():
     return c
 
 
-def equal(spark, duck, name, sql):
-    df = queries.queries()[name](spark, SF)
-    cols = sorted(df.columns)
-    picked = ", ".join(f'"{c}"' for c in cols)
-    want = sorted(tuple(map(plain, r)) for r in duck.sql(f"select {picked} from ({sql})").fetchall())
-    assert want and sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect()) == want
-
-
-@pytest.mark.parametrize("name", TABLES)
-def test_tables_of_all_orders(spark, duck, name):
-    equal(spark, duck, name, ORACLE[name].replace(" WHERE l_orderkey % 5 < 2", ""))
-
-
-def test_every_chunk_is_expanded(spark, duck):
-    equal(spark, duck, "expand_tree", ORACLE["expand_tree"].replace(" WHERE chunk_ix % 40 = 0", ""))
-    equal(spark, duck, "expand_page", ORACLE["expand_page"].replace(" WHERE chunk_ix = 3", ""))
-
-
-#: all boxes, turned to the top-left origin of pages 120 high
-TURNED = "FROM (SELECT * REPLACE (CASE WHEN bl THEN 120 - v1 ELSE v0 END AS v0, CASE WHEN bl THEN 120 - v0 ELSE v1 END AS v1, CASE WHEN bl THEN 120 - w1 ELSE w0 END AS w0, CASE WHEN bl THEN 120 - w0 ELSE w1 END AS w1) FROM b)"
-
-
-@pytest.mark.parametrize("name", ["kv_iou_match", "draw_list"])
-def test_boxes_of_both_origins(spark, duck, name):
-    equal(spark, duck, name, ORACLE[name].replace("FROM b WHERE NOT bl", TURNED))
-
-
 def test_svg_holds_every_line(spark, duck):
     svgs = queries.queries()["layout_svg"](spark, SF).collect()
     want = dict(duck.sql("select l_orderkey, count(distinct l_linenumber) from lineitem group by 1").fetchall())
