@@ -68,13 +68,15 @@ def discard(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, from file sizes: no pass over the data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate, from file sizes, without a pass over the data; where it knows none (it then says
+    petabytes), the bytes of the texts are summed up."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 50 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def blocks_for(df: DataFrame, mb: int = 4, least: int = 16, most: int = 1 << 16) -> int:
-    """A power of two of blocks, one for each ``mb`` MB of input."""
-    n = max(least, min(most, math.ceil(input_bytes(df) / (mb << 20))))
+def blocks_for(df: DataFrame, mb: int = 8, least: int = 16) -> int:
+    """A power of two of blocks, one for each ``mb`` MB of input, whatever its size: what a block holds doesn't grow."""
+    n = max(least, math.ceil(input_bytes(df) / (mb << 20)))
     return 1 << (n - 1).bit_length()
 
 
@@ -122,18 +124,35 @@ def lean(fn):
 
 # --------------------------------------------------------------------- hashing
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; remembers at most ``cap`` words."""
+    """word (bytes) -> its place in two arrays of independent 64-bit hashes; forgets all beyond ``cap`` words between texts."""
 
     cap = 200_000
 
+    def __init__(self):
+        super().__init__()
+        self.low, self.high = np.empty(1 << 16, U64), np.empty(1 << 16, U64)
+
     def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < self.cap:
-            self[w] = h
-        return h
+        i = len(self)
+        if i == len(self.low):
+            self.low, self.high = np.resize(self.low, 2 * i), np.resize(self.high, 2 * i)
+        h = xxhash.xxh3_128_intdigest(w)
+        self.low[i], self.high[i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+        self[w] = i
+        return i
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.cap:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+        at = self.places(words)
+        return self.low[at]
+
+    def both(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = self.places(words)
+        return self.low[at], self.high[at]
 
 
 _MUL = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
@@ -177,6 +196,21 @@ def ids_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def free_prefix(df: DataFrame, prefix: str = "q_") -> str:
+    """``prefix``, with underscores until no column of ``df`` starts so."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def back_to_null(name: str = "doc_id"):
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name)).alias(name)
 
@@ -248,13 +282,14 @@ def doc_block(doc: np.ndarray, n_blocks: int) -> np.ndarray:
 
 # ----------------------------------------------------------------------- bloom
 class Bloom:
-    """A Bloom filter over int64 ids with a fixed number of bits (4 MB unless told otherwise), whatever the input.
+    """A Bloom filter over int64 ids: 16 bits an id, ``MOST`` bytes at most; for more ids than that serves, ``build`` gives
+    None and ``only`` takes every row, so the join that follows does the work.
 
     Built on the executors: each partition sends the parts of its filter that are not empty, and
     reducers unite them; the driver gets the finished filter only.
     """
 
-    PART = 1 << 16
+    PART, MOST = 1 << 16, 32 << 20
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -266,8 +301,12 @@ class Bloom:
         return [((lo + U64(i) * hi) & U64(m - 1)).astype(np.int64) for i in range(4)]
 
     @classmethod
-    def build(cls, ids: DataFrame, n_bytes: int = 4 << 20) -> "Bloom":
-        m, part = n_bytes * 8, cls.PART
+    def build(cls, ids: DataFrame) -> "Bloom | None":
+        n, part = ids.count(), cls.PART
+        if n > 2 * cls.MOST:  # under 4 bits an id
+            return None
+        n_bytes = min(cls.MOST, 1 << max(16, (2 * n).bit_length()))
+        m = n_bytes * 8
 
         def partial(batches):
             bits = np.zeros(n_bytes, np.uint8)
@@ -294,6 +333,21 @@ class Bloom:
         return ok
 
 
+def only(docs: DataFrame, bloom: Bloom | None, inside: bool = True, column: str = "doc_id") -> DataFrame:
+    """The rows whose ``column`` the filter has (or has not); null is NULL_ID for it. Without a filter: all (none)."""
+    if bloom is None:
+        return docs if inside else docs.filter(F.lit(False))
+    at = docs.columns.index(column)
+
+    def run(batches):
+        for b in slices(batches):
+            ok = bloom.has(ids_of(b.column(at)))
+            if (k := b.filter(pa.array(ok if inside else ~ok))).num_rows:
+                yield k
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 # ------------------------------------------------------------------ components
 class Forest:
     """Union-find over int64 ids in one task; the smallest id is the root."""
@@ -321,7 +375,7 @@ class Forest:
         return True
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node long, component long), component the smallest node reachable.
 
     Each partition first reduces its edges to stars, then large-star and small-star steps alternate until
@@ -357,9 +411,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     e = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(local), star).distinct())
     seen = sign(e)
-    for _ in range(max_rounds):
-        if not seen["n"]:
-            break
+    while seen["n"]:  # every round that changes something lowers labels, so this ends
         # small-star wants each edge from its larger end to its smaller end
         big = step(e, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         nxt = materialize(step(big, False))
@@ -369,10 +421,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._quire_path = getattr(e, "_quire_path", None)
+    return out
 
 
 # --------------------------------------------------------------------- mapping
@@ -386,7 +438,8 @@ def annotate(docs: DataFrame, fields: str, fn, needs: list[str]) -> DataFrame:
     new = T._parse_datatype_string(fields)
     keep = [f for f in docs.schema.fields if f.name.lower() not in {x.name.lower() for x in new.fields}]
     # a needed column that is about to be replaced travels under another name
-    src = docs.select(*[F.col(f"`{f.name}`") for f in keep], *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(needs)])
+    prefix = free_prefix(docs, "__in_")
+    src = docs.select(*[F.col(f"`{f.name}`") for f in keep], *[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(needs)])
     n = len(keep)
 
     def run(batches):

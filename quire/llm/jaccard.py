@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Bloom, BlockSender, Forest, WordHashes, back_to_null, blocks_for, components, discard, doc_block, gram_hashes, ids_of, lean, lower_ascii, materialize, sha, slices, unpack
-from .repeats import flagged_cells, groups, only, spread, with_kind
+from .common import NULL_ID, U64, Bloom, BlockSender, Forest, WordHashes, back_to_null, blocks_for, components, discard, doc_block, free_name, gram_hashes, lean, lower_ascii, materialize, only, sha, slices, unpack
+from .repeats import flagged_cells, groups, keyed, spread
 
 
 def gram_set(words: WordHashes, text: str | None, k: int) -> np.ndarray:
@@ -45,6 +45,11 @@ def _grams(k: int):
     return run
 
 
+def with_kind(batches, kind: int):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns], names=["kind", *b.schema.names])
+
+
 # ---------------------------------------------------------------------- trie
 class Node:
     __slots__ = ("seg", "kids", "low", "high", "least", "most", "here", "one")
@@ -245,7 +250,7 @@ def candidate_edges(reps: DataFrame, percent: int, n_blocks: int, frequent_of: i
 
 
 def cluster_links(reps: DataFrame, clusters: DataFrame, percent: int, n_parts: int, block: int = 4096) -> DataFrame:
-    """(a, b): links between the sets of each cluster(node, component), enough to connect all that link."""
+    """(a, b): links between the ids of the sets of each cluster(node, component), enough to connect all that link."""
     sized = clusters.groupBy("component").agg(F.count("*").alias("m"))
     c = clusters.join(sized, "component").join(reps, F.col("node") == F.col("rep"))
     nb = F.ceil(F.col("m") / F.lit(block)).cast("int")
@@ -255,7 +260,7 @@ def cluster_links(reps: DataFrame, clusters: DataFrame, percent: int, n_parts: i
     whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))
     c = c.withColumn("ij", F.explode(F.when(nb > 1, pairs).otherwise(whole)))
     part = F.when(nb > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(n_parts)))
-    c = c.select(part.alias("part"), F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "component", "rep", "grams")
+    c = c.select(part.alias("part"), F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "component", F.col("id" if "id" in reps.columns else "rep").alias("rep"), "grams")
 
     def join(table: pa.Table) -> pa.Table:
         comp = table.column("component").to_numpy()
@@ -273,13 +278,12 @@ def cluster_links(reps: DataFrame, clusters: DataFrame, percent: int, n_parts: i
     return c.groupBy("part", "i", "j").applyInArrow(lean(join), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mb: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mb: int = 8) -> DataFrame:
     """(doc_id, n_shingles long, component_id long): a row for each id."""
     n_blocks = blocks_for(docs, mb)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = keyed(docs)
     # 1. texts of which enough is shared; equal cells of one text may count as one, for which there is some slack
-    flags = flagged_cells(docs, _grams(k), n_blocks).select("doc_id", "n", (F.octet_length("cells") / 4).alias("shared"))
-    sizes = materialize(flags)
+    sizes = materialize(flagged_cells(texts, _grams(k), n_blocks, sizes=True).select("id", "key", "n", (F.octet_length("cells") / 4).alias("shared")))
     slack = F.lit(2) + F.col("n") * F.col("n") / F.lit(float(1 << 32))
     wanted = sizes.filter((F.col("shared") > 0) & ((F.col("shared") + slack) * 100 >= F.col("n") * percent))
 
@@ -287,26 +291,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mb: int = 4)
     def sets(batches):
         words = WordHashes()
         for b in slices(batches):
-            g = [gram_set(words, t, k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": ids_of(b.column(0)), "n": [len(x) for x in g], "same": [sha(x.tobytes())[:32] for x in g], "grams": [x.tobytes() for x in g]}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.string()), ("grams", pa.binary())]))
-
-    some = materialize(only(docs, Bloom.build(wanted.select("doc_id"))).mapInArrow(lean(sets), "doc_id long, n long, same string, grams binary").filter("n > 0"))
-    heads = some.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("grams").alias("grams")).drop("same"))
-    equal = some.select("doc_id", "same").join(heads, "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b")
+            g = [gram_set(words, t, k) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in g], pa.int64()), pa.array([sha(x.tobytes())[:32] for x in g]), pa.array([x.tobytes() for x in g], pa.binary())], names=["id", "key", "n", "same", "grams"])
+
+    some = materialize(only(texts, Bloom.build(wanted.select("key")), column="key").mapInArrow(lean(sets), "id long, key long, n long, same string, grams binary").filter("n > 0"))
+    first = F.min(F.struct("id", "key")).alias("first")
+    heads = some.groupBy("same").agg(first).select("same", F.col("first.id").alias("head"))
+    reps = materialize(some.groupBy("same").agg(first, F.first("n").alias("n"), F.first("grams").alias("grams")).select(F.col("first.key").alias("rep"), F.col("first.id").alias("id"), "n", "grams"))
+    equal = some.select("id", "same").join(heads, "same").select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a != b")
     # 3. clusters of candidates, and the links within
-    clusters = components(candidate_edges(reps, percent, n_blocks))
+    clusters = components(candidate_edges(reps.select("rep", "n", "grams"), percent, n_blocks))
     links = cluster_links(reps, clusters, percent, n_blocks)
     # 4. components of all links
     found = components(links.unionByName(equal))
-    discard(some)
-    discard(reps)
-    out = sizes.join(found, F.col("doc_id") == F.col("node"), "left")
+    for t in (some, reps, clusters):
+        discard(t)
+    out = sizes.groupBy(F.col("id").alias("doc_id")).agg(F.max("n").alias("n")).join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select(back_to_null("doc_id"), F.col("n").alias("n_shingles"), F.when(F.coalesce("component", "doc_id") != F.lit(NULL_ID), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; the columns stay as they are."""
-    gone = materialize(near_duplicates(docs, k, percent).filter("doc_id is not null and not (component_id <=> doc_id)").select("doc_id"))
+    """``docs`` with one document of each component, the one of the smallest id (of a null id, that); all rows of that id
+    stay. The columns stay as they are, whatever their names."""
+    own = free_name(docs, "q_id")
+    gone = materialize(near_duplicates(docs, k, percent).filter("not (component_id <=> doc_id)").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(own)))
     bloom = Bloom.build(gone)
-    return only(docs, bloom, False).unionByName(only(docs, bloom).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    d = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return only(d, bloom, False, own).unionByName(only(d, bloom, True, own).join(gone, own, "left_anti")).drop(own)

@@ -9,9 +9,12 @@ A text of fewer than ``k`` lines is one window.
 So a line goes exactly if a window of ``k`` lines over it also starts earlier. With ``least``, fewer lines are a window
 as well if their sizes come to ``least`` or more, so a long line that occurs earlier goes on its own, and so does a pair;
 the size of a line is its number of words, or an eighth of its bytes if that is more, for scripts without spaces. The
-fingerprint of such a window is found in the same way, so these are caught without exception, too. Nulls: a null text has no lines; a null
-doc_id comes first. Rows that share an id are ordered among themselves by line only. Empty tables give empty results.
-Other columns pass through ``dedup``; ``q_spans`` is replaced.
+fingerprint of such a window is found in the same way, so these are caught without exception, too.
+
+Nulls: a null text has no lines; a null doc_id comes first. Rows that share an id are ordered among themselves by line,
+then by a hash of their text; equal rows are treated alike, so neither removes lines of the other. A very long text is
+read whole, one at a time. Empty tables give empty results. ``dedup`` leaves all other columns as they are, whatever
+their names; ``find`` adds ``q_spans``, in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, sha, utf8
+from .common import annotate, free_name, sha, utf8
 from .repeats import kept_units, mark_repeats, winnow, winnow_windows, with_marks
 
 RUN = 3
@@ -37,13 +40,13 @@ def sizes_of(lines: list[bytes]) -> np.ndarray:
     return np.fromiter((max(len(x.split()), len(x) // 8) for x in lines), np.int64, len(lines))
 
 
-def find(docs: DataFrame, k: int = RUN, least: int | None = None) -> DataFrame:
-    """``docs`` with q_spans binary: int32 start and end of the runs of lines to remove, null for none."""
+def find(docs: DataFrame, k: int = RUN, least: int | None = None, name: str = "q_spans") -> DataFrame:
+    """``docs`` with ``name`` binary: int32 start and end of the runs of lines to remove, null for none."""
     if least is None:
         marks = mark_repeats(docs, lines_of, k, winnow(k), within_doc=True, short=True)
     else:
         marks = mark_repeats(docs, lines_of, k, winnow_windows, within_doc=True, short=True, sizes=sizes_of, least=least)
-    return with_marks(docs, marks)
+    return with_marks(docs, marks, name)
 
 
 def _cut(texts, spans):
@@ -64,9 +67,9 @@ def dedup(docs: DataFrame, k: int = RUN, drop_emptied: bool = True, least: int |
             gone.append(not same and not any(x.strip() for x in left))
         return [pa.array(out, pa.string()), pa.array(gone, pa.bool_())]
 
-    names = docs.columns
-    out = annotate(find(docs, k, least), "text string, q_gone boolean", run, ["text", "q_spans"])
-    return (out.filter(~F.col("q_gone")) if drop_emptied else out).select(*names)
+    names, spans, emptied = docs.columns, free_name(docs, "q_spans"), free_name(docs, "q_gone")
+    out = annotate(find(docs, k, least, spans), f"text string, {emptied} boolean", run, ["text", spans])
+    return (out.filter(~F.col(emptied)) if drop_emptied else out).select(*[F.col(f"`{c}`") for c in names])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -8,14 +8,20 @@
 3. A piece gets a rank within its length, counted in buckets so that no length's pieces meet in one task, and finds its
    segment by (length, rank). Segments are at most ``size`` squared, however large the input.
 
-Nulls: a null text is empty, so it is the end id alone. Empty tables give empty results. Repeated rows are packed each;
-equal doc_ids are told apart only by their place.
+The ids are those that the tokenizers library gives for the file as it is: a token that the file adds counts as that
+token wherever its characters stand in a text, and the text around it is encoded on its own.
+
+Nulls: a null text is empty, so it is the end id alone; a null doc_id is kept. Empty tables give empty results. Repeated
+rows are packed each, told apart only by their places; a salt that is stored with each piece spreads them, so rows of one
+id, or of one id and text, don't meet in one task. A very long text is encoded whole, and gives as many pieces as it
+needs. Only doc_id and text of the documents are read; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 
 import numpy as np
@@ -51,7 +57,12 @@ class Ids(dict):
         letters = _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        special = {x["content"] for x in told.get("added_tokens", [])}
+        self.added = {x["content"]: np.asarray([x["id"]], "<u4").tobytes() for x in told.get("added_tokens", [])}
+        if any(x.get(f) for x in told.get("added_tokens", []) for f in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that take in their surroundings are not known here")
+        # of those that start at one place the longest counts
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        special = set(self.added)
         ranks = {bytes(letters[c] for c in w): i for w, i in told["model"]["vocab"].items() if w not in special}
         self.encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -67,6 +78,11 @@ class Ids(dict):
         return out
 
     def of(self, text: str) -> bytes:
+        if self.around is None or not self.around.search(text):
+            return self.plain(text)
+        return b"".join(self.added.get(part) or self.plain(part) for part in self.around.split(text))
+
+    def plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not rest:
             return self.whole(text) if text else b""
@@ -159,11 +175,13 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 
 
 def pack(made: DataFrame, size: int = 1024, rows_per_bucket: int = 50_000) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``made`` is read three times, so give it materialized."""
+    """``pieces`` with sequence_id and offset; ``made`` is read three times, so give it materialized. A column salt, if it
+    has one, spreads its rows, and is left out."""
     hist = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     segments = plan(hist, size)
     buckets = max(16, math.ceil(sum(hist.values()) / rows_per_bucket))
-    m = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    salt = F.xxhash64("salt") if "salt" in made.columns else F.xxhash64("doc_id", "piece", "ids_crc32")
+    m = made.withColumn("bucket", F.pmod(salt, F.lit(buckets)).cast("int")).drop("salt")
     sizes = m.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
     offsets = sizes.select("length", "bucket", before.alias("before"))
@@ -174,10 +192,11 @@ def pack(made: DataFrame, size: int = 1024, rows_per_bucket: int = 50_000) -> Da
     # one sorted key for (length, rank): ranks are below 2**48
     keys = (table[:, 0] << 48) + table[:, 1]
 
-    names = made.columns
+    kept = [f for f in made.schema.fields if f.name != "salt"]
+    names = [f.name for f in kept]
     from pyspark.sql import types as T
 
-    schema = T.StructType([*made.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
         for b in batches:
@@ -191,4 +210,4 @@ def pack(made: DataFrame, size: int = 1024, rows_per_bucket: int = 50_000) -> Da
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of ``docs`` with their sequence and offset. The table of pieces is written once to the shared folder."""
-    return pack(materialize(pieces(docs, tokenizer_path, size, end_id)), size)
+    return pack(materialize(pieces(docs, tokenizer_path, size, end_id).withColumn("salt", F.monotonically_increasing_id())), size)

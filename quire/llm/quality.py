@@ -8,8 +8,11 @@
    through the logistic function.
 
 Nulls: a null text counts as empty and gets the statistics of an empty text; rows whose label or id is null teach
-nothing; of repeated labels of an id the lowest counts. Without labels of both classes the score is the share of
-label 1, or 1.0 if there are none at all. Other columns pass through; one named like a new column is replaced.
+nothing; of repeated labels of an id the lowest counts, and of its repeated rows the one with the least statistics, so
+what is learned from is bounded. Very long texts are measured whole; equal texts get equal scores; an empty table gives
+an empty result. Without labels of both classes the score is the share of
+label 1, or 1.0 if there are none at all. Other columns pass through,
+whatever their names; ``score`` replaces columns called score or predicted.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, utf8
+from .common import annotate, free_prefix, utf8
 
 FEATURES = (
     "n_bytes", "n_words", "n_lines", "upper_share", "lower_share", "digit_share", "symbol_share", "mark_share", "other_share",
@@ -47,14 +50,14 @@ def figures(text: str | None) -> list[float]:
     ]
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns q_<feature> double."""
+def statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
+    """``docs`` with the columns <prefix><feature> double."""
 
     def run(texts):
         rows = np.asarray([figures(t) for t in texts.to_pylist()], np.float64).reshape(len(texts), len(FEATURES))
         return [pa.array(rows[:, i]) for i in range(len(FEATURES))]
 
-    return annotate(docs, ", ".join(f"q_{f} double" for f in FEATURES), run, [text])
+    return annotate(docs, ", ".join(f"{prefix}{f} double" for f in FEATURES), run, [text])
 
 
 @dataclass(frozen=True)
@@ -69,10 +72,10 @@ class Rule:
             ok &= (x[:, f] > at) == above
         return ok
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "q_") -> Column:
         out = F.lit(True)
         for f, above, at in self.terms:
-            c = F.col(f"q_{FEATURES[f]}")
+            c = F.col(f"{prefix}{FEATURES[f]}")
             out = out & ((c > F.lit(at)) if above else (c <= F.lit(at)))
         return out
 
@@ -140,13 +143,13 @@ class RuleModel:
     rules: list[tuple[Rule, float]]
     constant: float | None = None
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "q_") -> Column:
         """The score as one Spark column over the statistics."""
         if self.constant is not None:
             return F.lit(float(self.constant))
         margin = F.lit(self.intercept)
         for rule, weight in self.rules:
-            margin = margin + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            margin = margin + F.when(rule.column(prefix), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
@@ -169,18 +172,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> RuleMod
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q_label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows ids: small enough to broadcast
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    got = rows.select("doc_id", "q_label", *(f"q_{f}" for f in FEATURES)).toPandas().sort_values(["doc_id", *(f"q_{f}" for f in FEATURES)])
+    one = rows.groupBy("doc_id").agg(F.min("q_label").alias("q_label"), F.min(F.struct(*(f"q_{f}" for f in FEATURES))).alias("x"))  # max_rows at most
+    got = one.select("doc_id", "q_label", "x.*").toPandas().sort_values("doc_id")
     return fit(got.iloc[:, 2:].to_numpy(float), (got["q_label"].to_numpy() > 0).astype(float))
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.7) -> DataFrame:
     """``docs`` with score double and predicted int."""
-    s = statistics(docs).withColumn("score", model.column())
-    return s.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*(f"q_{f}" for f in FEATURES))
+    p = free_prefix(docs)
+    s = statistics(docs, prefix=p).withColumn("score", model.column(p))
+    return s.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*(f"{p}{f}" for f in FEATURES))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``docs`` without those predicted to be of low quality; the columns stay as they are."""
-    names = docs.columns
-    s = statistics(docs).filter(train(docs, labels).column() >= threshold)
-    return s.select(*names)
+    names, p = docs.columns, free_prefix(docs)
+    s = statistics(docs, prefix=p).filter(train(docs, labels).column(p) >= threshold)
+    return s.select(*[F.col(f"`{c}`") for c in names])

@@ -1,10 +1,17 @@
 """Repeated runs of units (words or lines) over a whole corpus: the passes that substring and line dedup share.
 
-Pass 1 sends a prefilter's cells of every text to blocks of the hash space and learns which are repeated. Pass 2 reads
-the texts that have any, and groups exactly (96 bits) only the windows whose cell is repeated; every occurrence but the
-first is marked. Pass 3 hands the marks to the texts. Senders settle what they can among their own rows before they
-send: of a cell or window that many documents share, a sender passes on one (the first document's), so a hot one costs
-a reducer a row for each sender. Only texts that a Bloom filter of fixed size names are shuffled.
+Pass 1 is a count-min sketch of all windows (or of their winnowed fingerprints). Its width is fixed by the size of the
+input: ``n_blocks`` ranges of 2**32 counters, in one row, so that it stays thin at every size. A sender sketches its
+texts: one counter a cell it saw, saturated at 255. Reducers add the counters of a range, and a cell whose sum is 2 or
+more goes back to the texts that saw it once; a sum is never under the true count, so nothing repeated is missed.
+
+Pass 2 reads the texts that have such cells, and groups exactly the windows whose estimate is 2 or more, by 128 bits: two
+64-bit hashes that are made of independent hashes of the units. Every occurrence but the first is marked. Pass 3 hands
+the marks to the texts. Senders settle what they can among their own rows before they send: of a window that many
+documents share, a sender passes on one (the first document's), so a hot one costs a reducer a row for each sender.
+
+A text is told by its id and a hash of id and text, so rows that share an id but not a text never mix, and many rows of
+one id are spread. Only texts that a Bloom filter of bounded size names are shuffled.
 """
 
 from __future__ import annotations
@@ -17,32 +24,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Bloom, BlockSender, WordHashes, blocks_for, discard, doc_block, gram_hashes, ids_of, lean, materialize, mix, slices, unpack
+from .common import NULL_ID, U64, Bloom, WordHashes, blocks_for, discard, doc_block, free_name, gram_hashes, lean, materialize, mix, only, slices
 
-CELLS = ["cells"]
-ROWS = "kind int, " + BlockSender.schema(CELLS)
-_KIND = pa.field("kind", pa.int32())
+NONE = np.empty(0, U64)  # a payload that a kind of rows doesn't have
+WHO = np.dtype([("id", "<i8"), ("key", "<i8")])
 
 
-def with_kind(batches, kind: int):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows, pa.int32()), *b.columns], names=["kind", *b.schema.names])
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, key, text): null ids are NULL_ID; rows of equal id and text have one key."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select(own.alias("id"), F.xxhash64(own, F.col(text)).alias("key"), F.col(text).alias("text"))
 
 
+# ------------------------------------------------------------------ block shuffle
+def schema_of(names) -> str:
+    return "kind int, block int, who binary, counts binary" + "".join(f", {x} binary" for x in names)
+
+
+def pack(kind: int, block: np.ndarray, who: np.ndarray, people: np.ndarray, **payload: np.ndarray):
+    """Entries as one row for each block: who has entries there (``people`` by the ascending places ``who``), how many
+    each (int32), and the payload arrays. Gives no batch for no entries."""
+    if not len(block):
+        return
+    order = np.argsort(block if block.max() > 65535 else block.astype(np.uint16), kind="stable")
+    block, who, payload = block[order], who[order], {k: p[order] if len(p) else p for k, p in payload.items()}
+    ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)).tolist()
+    start, rows = 0, {x: [] for x in ("block", "who", "counts", *payload)}
+    for end in ends:
+        w = who[start:end]
+        cut = np.append(0, np.flatnonzero(w[1:] != w[:-1]) + 1)
+        rows["block"].append(int(block[start]))
+        rows["who"].append(people[w[cut]].tobytes())
+        rows["counts"].append(np.diff(np.append(cut, len(w))).astype(np.int32).tobytes())
+        for name, p in payload.items():
+            rows[name].append(p[start:end].tobytes())
+        start = end
+    kinds = pa.array(np.full(len(ends), kind, np.int32))
+    yield pa.RecordBatch.from_arrays([kinds, pa.array(rows["block"], pa.int32()), *(pa.array(rows[x], pa.binary()) for x in ("who", "counts", *payload))], names=["kind", "block", "who", "counts", *payload])
+
+
+def unpack(table: pa.Table, who: np.dtype, **payload: type) -> tuple[np.ndarray, ...]:
+    """(who, a row for each run of entries; entries a run; payload arrays) of packed rows."""
+    buf = lambda name, t: np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in table.column(name).to_pylist())])
+    return (buf("who", who), buf("counts", np.int32), *(buf(n, t) for n, t in payload.items()))
+
+
+def tabled(batches, like: pa.Table) -> pa.Table:
+    made = list(batches)
+    return pa.Table.from_batches(made, like.schema) if made else like.slice(0, 0)
+
+
+# ------------------------------------------------------------------------- groups
 def cells_of(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(16)).astype(np.uint32)
+    """The counter within a block's range."""
+    return h.astype(np.uint32)
+
 
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows sorted by the key, where each group starts."""
+    order = np.argsort(key)
+    s = key[order]
+    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
 
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts): rows sorted by the keys (first the most significant), where each group starts."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
+
+def groups_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``groups`` by two keys; the second is sorted only if the first doesn't tell all apart."""
+    order, starts = groups(a)
+    s = b[order]
+    inner = np.ones(len(s), bool)
+    inner[starts] = False
+    if (s[1:] != s[:-1])[inner[1:]].any():
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    return order, starts
 
 
 def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -50,112 +105,87 @@ def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(starts, n)))
 
 
-def flagged_cells(docs: DataFrame, grams: Callable[[list], tuple[np.ndarray, np.ndarray]], n_blocks: int, within_doc: bool = False) -> DataFrame:
-    """(doc_id, n long, cells binary uint32): for each id, how many grams its text has and the cells of those that
-    occur in another document too (``within_doc``: at another place). ``doc_id`` null is NULL_ID here.
+# ------------------------------------------------------------------------- pass 1
+def flagged_cells(texts: DataFrame, grams: Callable[[list], tuple[np.ndarray, np.ndarray]], n_blocks: int, sizes: bool = False) -> DataFrame:
+    """(id, key, n long, cells binary uint32) of ``keyed`` texts: the cells of each text whose estimate is 2 or more.
 
-    ``grams`` takes texts and gives the 64-bit hashes of all their grams in a row and how many each text has.
-    The blocks of cells are a count-min sketch of one row with a width of n_blocks x 2**32 counters: each sender's rows
-    are its partition's sketch, a reducer merges them, and an estimate can only be too high.
-    """
+    ``grams`` takes texts and gives the 64-bit hashes of all their grams in a row and how many each text has. With
+    ``sizes`` every text has a row, with its id and its number of grams as n; else only texts with cells have one."""
     shift = U64(64 - (n_blocks.bit_length() - 1))
+    rows = schema_of(["cells", "n"])
 
     def send(batches):
-        local = BlockSender(CELLS)
-        marked, sizes = BlockSender(CELLS), BlockSender(CELLS)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n_held = 0
+        held: list[tuple] = []
+        n_held = n_people = 0
 
         def settle():
-            nonlocal held, n_held
-            if not n_held:
-                return
-            h, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, n_held = [], 0
-            order, starts = groups(h)
-            sd = d[order]
-            if within_doc:
-                many = np.diff(np.append(starts, len(order))) > 1
-            else:
-                many = np.minimum.reduceat(sd, starts) != np.maximum.reduceat(sd, starts)
-            flag = np.zeros(len(h), bool)
-            flag[order] = spread(many, starts, len(order))
-            first = np.zeros(len(h), bool)
-            first[order[starts]] = True
-            yield from with_kind(local.add((h[first] >> shift).astype(np.uint32), d[first], cells_of(h[first])), 0)
-            if flag.any():
-                yield from with_kind(marked.add(doc_block(d[flag], n_blocks), d[flag], cells_of(h[flag])), 1)
+            """The sketch of the texts held, and the cells whose counter says 2 or more already."""
+            nonlocal held, n_held, n_people
+            if n_held:
+                h, who, people = (np.concatenate(x) for x in zip(*held, strict=True))
+                order, starts = groups(h)
+                count = np.empty(len(h), np.int64)
+                count[order] = spread(np.diff(np.append(starts, len(h))), starts, len(h))
+                first = np.zeros(len(h), bool)
+                first[order[starts]] = True
+                yield from pack(0, (h[first] >> shift).astype(np.uint32), who[first], people, cells=cells_of(h[first]), n=np.minimum(count[first], 255).astype(np.uint8))
+                many = count > 1
+                yield from pack(1, doc_block(people, n_blocks)[who[many]], who[many], people, cells=cells_of(h[many]), n=NONE)
+            held, n_held, n_people = [], 0, 0
 
         for b in slices(batches):
-            ids = ids_of(b.column(0))
-            h, counts = grams(b.column(1).to_pylist())
-            yield from with_kind(sizes.add(doc_block(ids, n_blocks), ids, counts.astype(np.uint32)), 2)
-            held.append((h, np.repeat(ids, counts)))
-            n_held += len(h)
-            if n_held > 750_000:
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            h, counts = grams(b.column(2).to_pylist())
+            if sizes:
+                own = np.stack([counts.astype(np.uint32), ids.view(np.uint32)[::2], ids.view(np.uint32)[1::2]], 1).ravel()
+                three = np.repeat(np.arange(len(keys)), 3)
+                yield from pack(2, doc_block(keys, n_blocks)[three], three, keys, cells=own, n=NONE)
+            held.append((h, np.repeat(np.arange(n_people, n_people + len(keys)), counts), keys))
+            n_held, n_people = n_held + len(h), n_people + len(keys)
+            if n_held > 1_000_000:
                 yield from settle()
         yield from settle()
-        for kind, s in enumerate((local, marked, sizes)):
-            yield from with_kind(s.flush(), kind)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py():
             return table
-        d, c = unpack(table, {"cells": np.uint32})
-        order, starts = groups(c)
-        sd = d[order]
-        many = np.diff(np.append(starts, len(order))) > 1 if within_doc else np.minimum.reduceat(sd, starts) != np.maximum.reduceat(sd, starts)
-        flag = np.zeros(len(d), bool)
-        flag[order] = spread(many, starts, len(order))
-        out = BlockSender(CELLS, 1 << 62)
-        rows = [*out.add(doc_block(d[flag], n_blocks), d[flag], c[flag]), *out.flush()] if flag.any() else []
-        return pa.Table.from_batches([*with_kind(rows, 1)], table.schema) if rows else table.slice(0, 0)
+        people, runs, cells, n = unpack(table, np.dtype("<i8"), cells=np.uint32, n=np.uint8)
+        order, starts = groups(cells)
+        flag = np.zeros(len(cells), bool)
+        flag[order] = spread(np.add.reduceat(n[order], starts, dtype=np.int64) > 1, starts, len(cells))
+        flag &= n == 1  # a sender whose counter is higher knows
+        who = np.repeat(np.arange(len(people)), runs)[flag]
+        return tabled(pack(1, doc_block(people, n_blocks)[who], who, people, cells=cells[flag], n=NONE), table)
 
     def gather(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table.column("kind"))
-        ids, n = unpack(table.filter(pa.array(kinds == 2)), {"cells": np.uint32})
-        uniq, at = np.unique(ids, return_inverse=True)
-        size = np.zeros(len(uniq), np.int64)
-        np.maximum.at(size, at, n)
-        cells = [b""] * len(uniq)
-        marks = table.filter(pa.array(kinds == 1))
-        if marks.num_rows:
-            d, c = unpack(marks, {"cells": np.uint32})
-            order, starts = groups(d, c)
-            keep = order[starts]
-            d, c = d[keep], c[keep]
-            cut = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                cells[int(np.searchsorted(uniq, d[i]))] = c[i:j].tobytes()
-        return pa.table({"doc_id": uniq, "n": size, "cells": cells}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())]))
-
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(send), ROWS)
-    merged = sent.groupBy("kind", "block").applyInArrow(lean(merge), ROWS)
-    return merged.groupBy("block").applyInArrow(lean(gather), "doc_id long, n long, cells binary")
-
-
+        marked, runs, cells = unpack(table.filter(pa.array(kinds == 1)), np.dtype("<i8"), cells=np.uint32)
+        sized, _, own = unpack(table.filter(pa.array(kinds == 2)), np.dtype("<i8"), cells=np.uint32)
+        keys, at = np.unique(np.append(sized, marked), return_inverse=True)
+        n, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        own = own.reshape(-1, 3)
+        n[at[: len(sized)]] = own[:, 0]
+        ids[at[: len(sized)]] = np.ascontiguousarray(own[:, 1:]).view(np.int64).ravel()
+        both = np.unique(np.repeat(at[len(sized) :], runs).astype(U64) << U64(32) | cells)
+        cut = np.searchsorted(both, np.arange(len(keys) + 1).astype(U64) << U64(32))
+        c = both.astype(np.uint32)
+        out = {"id": ids, "key": keys, "n": n, "cells": [c[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]}
+        return pa.table(out, schema=pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())]))
+
+    merged = texts.mapInArrow(lean(send), rows).groupBy("kind", "block").applyInArrow(lean(merge), rows)
+    return merged.groupBy("block").applyInArrow(lean(gather), "id long, key long, n long, cells binary")
+
+
+# ------------------------------------------------------------------------- pass 2
 @dataclass
 class Marks:
-    """Places of repeated units: ``table`` (doc_id, spans binary: int32 start, end, merged), and the filter of its ids."""
+    """Places of repeated units: ``table`` (id, key, spans binary: int32 start, end, merged), and the filter of its keys."""
 
     table: DataFrame
-    bloom: Bloom
-
+    bloom: Bloom | None
 
-def only(docs: DataFrame, bloom: Bloom, inside: bool = True) -> DataFrame:
-    """The rows whose id the filter has (or has not); null is NULL_ID for it."""
-    at = docs.columns.index("doc_id")
-
-    def run(batches):
-        for b in slices(batches):
-            ok = bloom.has(ids_of(b.column(at)))
-            if (k := b.filter(pa.array(ok if inside else ~ok))).num_rows:
-                yield k
 
-    return docs.mapInArrow(lean(run), docs.schema)
-
-
-def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[..., tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 4, sizes: Callable[[list[bytes]], np.ndarray] | None = None, least: int = 0) -> Marks:
+def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[..., tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 8, sizes: Callable[[list[bytes]], np.ndarray] | None = None, least: int = 0) -> Marks:
     """Marks every unit in a window of ``k`` units that also starts earlier: in a document with a smaller id
     (``within_doc``: or before in the same one). ``short``: a text of fewer units is one window. With ``sizes``, which
     gives the size of each unit, fewer units whose sizes come to ``least`` or more are a window, too.
@@ -164,95 +194,101 @@ def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k:
     cell that each window needs).
     """
     n_blocks = blocks_for(docs, mb)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = keyed(docs)
 
     def windows(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return windows_by_size(sizes(found), k, least, short)
 
-    flags = materialize(flagged_cells(docs, _grams(units, prefilter, windows if sizes else None), n_blocks, within_doc).filter("octet_length(cells) > 0").drop("n"))
-    touched = only(docs, Bloom.build(flags.select("doc_id"))).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(flags, "doc_id")
+    flags = materialize(flagged_cells(docs, _grams(units, prefilter, windows if sizes else None), n_blocks).select("key", "cells"))
+    touched = only(docs, Bloom.build(flags.select("key")), column="key").join(flags, "key").select("id", "key", "text", "cells")
 
-    names, types = ["a", "b", "at"], {"a": np.uint64, "b": np.uint32, "at": np.uint32}
+    types = {"a": np.uint64, "b": np.uint64, "at": np.uint32}
     shift = U64(64 - (n_blocks.bit_length() - 1))
-    rows = "kind int, " + BlockSender.schema(names)
-
-    def settled(a, b, d, at) -> np.ndarray:
-        """True for rows that are not of the first document (or place) of their window, as far as these rows tell."""
-        order, starts = groups(a, b)
-        later = np.zeros(len(a), bool)
-        sd = d[order]
-        low = spread(np.minimum.reduceat(sd, starts), starts, len(order))
-        late = sd != low
+    rows = schema_of(types)
+
+    def settled(a, b, people, at) -> np.ndarray:
+        """True for rows that are not of the first document (or place) of their window, as far as these rows tell.
+        Rows of one id are ordered by place, then key."""
+        order, starts = groups_of_pairs(a, b)
+        n = len(order)
+
+        def least_of(values, late):
+            v = np.where(late, np.iinfo(np.int64).max, values)
+            return late | (v != spread(np.minimum.reduceat(v, starts), starts, n))
+
+        late = least_of(people["id"][order], np.zeros(n, bool))
         if within_doc:
-            place = np.where(late, np.iinfo(np.int64).max, at[order].astype(np.int64))
-            late |= place != spread(np.minimum.reduceat(place, starts), starts, len(order))
+            late = least_of(at[order].astype(np.int64), late)
+            late = least_of(people["key"][order], late)
+        later = np.zeros(n, bool)
         later[order] = late
         return later
 
     def send(batches):
         words = WordHashes()
-        whole, marked = BlockSender(names), BlockSender(names)
         held: list[tuple] = []
+        people: list[tuple[int, int]] = []
         n_held = 0
 
         def settle():
-            nonlocal held, n_held
-            if not n_held:
-                return
-            a, b, d, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, n_held = [], 0
-            late = settled(a, b, d, at)
-            go = ~late
-            yield from with_kind(whole.add((a[go] >> shift).astype(np.uint32), d[go], a[go], b[go], at[go]), 0)
-            if late.any():
-                yield from with_kind(marked.add(doc_block(d[late], n_blocks), d[late], a[late], b[late], at[late]), 1)
+            nonlocal held, people, n_held
+            if n_held:
+                a, b, who, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                known = np.array(people, WHO)
+                late = settled(a, b, known[who], at)
+                go = ~late
+                yield from pack(0, (a[go] >> shift).astype(np.uint32), who[go], known, a=a[go], b=b[go], at=at[go])
+                yield from pack(1, doc_block(known["key"], n_blocks)[who[late]], who[late], known, a=NONE, b=NONE, at=at[late])
+            held, people, n_held = [], [], 0
 
         for batch in slices(batches):
-            for d, t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for d, key, t, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 found = units(t)
-                h = words.of(found)
+                h, g = words.both(found)
                 start, w = windows(found) if sizes else windows_of_length(len(h), min(k, len(h)) if short else k)
                 cells, need = prefilter(h, start, w) if sizes else prefilter(h)
                 hit = np.isin(cells_of(cells), np.frombuffer(c, np.uint32))[need] if len(need) else np.empty(0, bool)
                 for n in np.unique(w[hit]).tolist():
                     at = start[hit & (w == n)]
-                    held.append((gram_hashes(h, n)[at], (gram_hashes(h, n, 1)[at] >> U64(32)).astype(np.uint32), np.full(len(at), d, np.int64), (at * (k + 1) + n).astype(np.uint32)))
+                    held.append((gram_hashes(h, n)[at], gram_hashes(g, n, 1)[at], np.full(len(at), len(people), np.int64), (at * (k + 1) + n).astype(np.uint32)))
                     n_held += len(at)
+                people.append((d, key))
             if n_held > 500_000:
                 yield from settle()
         yield from settle()
-        for kind, s in enumerate((whole, marked)):
-            yield from with_kind(s.flush(), kind)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py():
             return table
-        d, a, b, at = unpack(table, types)
-        late = settled(a, b, d, at)
-        out = BlockSender(names, 1 << 62)
-        made = [*out.add(doc_block(d[late], n_blocks), d[late], a[late], b[late], at[late]), *out.flush()] if late.any() else []
-        return pa.Table.from_batches([*with_kind(made, 1)], table.schema) if made else table.slice(0, 0)
+        people, runs, a, b, at = unpack(table, WHO, **types)
+        who = np.repeat(np.arange(len(people)), runs)
+        late = settled(a, b, people[who], at)
+        return tabled(pack(1, doc_block(people["key"], n_blocks)[who[late]], who[late], people, a=NONE, b=NONE, at=at[late]), table)
 
     def gather(table: pa.Table) -> pa.Table:
-        d, at = unpack(table, {"at": np.uint32})
-        order, starts = groups(d, at)
-        keep = order[starts]
-        d, (at, w) = d[keep], np.divmod(at[keep].astype(np.int64), k + 1)
-        # a run starts at a new document or after the end of all windows before
-        doc = np.cumsum(np.append(0, d[1:] != d[:-1])) << 33
-        end = np.maximum.accumulate(doc + at + w)
-        first = np.flatnonzero(np.append(True, (doc + at)[1:] > end[:-1]))
+        people, runs, at = unpack(table, WHO, at=np.uint32)
+        order = np.lexsort((people["id"], people["key"]))
+        new = np.append(True, people[order][1:] != people[order][:-1])
+        every, who = people[order][new], np.empty(len(order), np.int64)
+        who[order] = np.cumsum(new) - 1
+        both = np.unique(np.repeat(who, runs).astype(U64) << U64(32) | at)
+        d, at, w = (both >> U64(32)).astype(np.int64), *np.divmod((both & U64(0xFFFFFFFF)).astype(np.int64), k + 1)
+        # a run starts at a new text or after the end of all windows before
+        base = d << 33
+        end = np.maximum.accumulate(base + at + w)
+        first = np.flatnonzero(np.append(True, (base + at)[1:] > end[:-1]))
         spans = np.stack([at[first], np.maximum.reduceat(at + w, first)], 1).astype(np.int32)
-        cut = np.append(np.flatnonzero(np.append(True, d[first][1:] != d[first][:-1])), len(first))
-        out = {"doc_id": d[first][cut[:-1]], "spans": [spans[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]}
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]))
+        cut = np.searchsorted(d[first], np.arange(len(every) + 1)).tolist()
+        out = {"id": every["id"], "key": every["key"], "spans": [spans[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]}
+        return pa.table(out, schema=pa.schema([("id", pa.int64()), ("key", pa.int64()), ("spans", pa.binary())]))
 
     merged = touched.mapInArrow(lean(send), rows).groupBy("kind", "block").applyInArrow(lean(merge), rows)
-    marks = materialize(merged.groupBy("block").applyInArrow(lean(gather), "doc_id long, spans binary"))
+    marks = materialize(merged.groupBy("block").applyInArrow(lean(gather), "id long, key long, spans binary"))
     discard(flags)
-    return Marks(marks, Bloom.build(marks.select("doc_id")))
+    return Marks(marks, Bloom.build(marks.select("key")))
 
 
+# ----------------------------------------------------------------------- windows
 def windows_of_length(n: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of all windows of ``w`` of ``n`` units."""
     start = np.arange(max(n - w + 1, 0) if w else 0)
@@ -277,40 +313,28 @@ def _grams(units, prefilter, windows=None):
 
     def run(texts):
         found = [units(t) for t in texts]
+        if isinstance(prefilter, WindowsOf):  # all texts of the batch at once
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            h = words.of([w for u in found for w in u])
+            n = np.maximum(sizes - prefilter.k + 1, 0)
+            ends = np.cumsum(sizes)
+            at = np.repeat(ends - sizes - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return gram_hashes(h, prefilter.k)[at], n
         parts = [prefilter(words.of(u), *(windows(u) if windows else ()))[0] for u in found]
         return (np.concatenate(parts) if parts else np.empty(0, U64)), np.fromiter(map(len, parts), np.int64, len(parts))
 
     return run
 
 
-def with_marks(docs: DataFrame, marks: Marks) -> DataFrame:
-    """``docs`` with q_spans binary, null where nothing is marked. Only texts that the filter names are shuffled."""
-    docs = docs.drop("q_spans")
-    clear = only(docs, marks.bloom, False).withColumn("q_spans", F.lit(None).cast("binary"))
-    table = marks.table.select(F.col("doc_id").alias("q_id"), F.col("spans").alias("q_spans"))
-    hit = only(docs, marks.bloom).withColumn("q_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    hit = hit.join(table, F.col("q_key") == F.col("q_id"), "left").drop("q_key", "q_id")
-    return clear.unionByName(hit)
-
-
-def kept_units(units: list[bytes], spans: bytes | None) -> list[bytes]:
-    if not spans:
-        return units
-    out, at = [], 0
-    for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
-        out += units[at:a]
-        at = b
-    return out + units[at:]
-
-
-def windows_of(k: int):
+class WindowsOf:
     """The prefilter that sketches every window: each window needs its own cell."""
 
-    def run(h: np.ndarray):
-        g = gram_hashes(h, k)
-        return g, np.arange(len(g))
+    def __init__(self, k: int):
+        self.k = k
 
-    return run
+    def __call__(self, h: np.ndarray):
+        g = gram_hashes(h, self.k)
+        return g, np.arange(len(g))
 
 
 def winnow(k: int):
@@ -340,3 +364,27 @@ def winnow_windows(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> tupl
         at[some] = start[some] + (w - 1 - view[:, ::-1].argmin(1))
     chosen, need = np.unique(at, return_inverse=True)
     return v[chosen], need
+
+
+# ------------------------------------------------------------------------- pass 3
+def with_marks(docs: DataFrame, marks: Marks, name: str = "q_spans") -> DataFrame:
+    """``docs`` with ``name`` binary, null where nothing is marked; a column of that name is replaced, all others stay. Only
+    texts that the filter names are shuffled."""
+    docs = docs.drop(name)
+    own, key = free_name(docs, "q_id"), free_name(docs, "q_key")
+    d = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    d = d.withColumn(key, F.xxhash64(own, "text"))
+    clear = only(d, marks.bloom, False, key).drop(own, key).withColumn(name, F.lit(None).cast("binary"))
+    table = marks.table.select(F.col("id").alias(own), F.col("key").alias(key), F.col("spans").alias(name))
+    hit = only(d, marks.bloom, True, key).join(table, [own, key], "left").drop(own, key)
+    return clear.unionByName(hit)
+
+
+def kept_units(units: list[bytes], spans: bytes | None) -> list[bytes]:
+    if not spans:
+        return units
+    out, at = [], 0
+    for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+        out += units[at:a]
+        at = b
+    return out + units[at:]

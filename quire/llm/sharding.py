@@ -3,11 +3,13 @@
 Each key walks a chain of jumps 0 <= j1 < j2 < ...; the last one below the number of shards is its shard. The walk
 draws from a stream seeded by the key, so a key's shard under n + 1 shards is its shard under n or the new one.
 There is no ring and no table: ``jump_shard`` is a Column expression. Slots count the rows of a shard without a gap:
-rows are numbered within (shard, bucket of the key) and the buckets' offsets, a table of shards x buckets rows, are
-added; no shard's rows meet in one task.
+equal rows are counted first, their counts are summed up within (shard, bucket of the whole row), the buckets' offsets, a
+table of shards x buckets rows, are added, and each count becomes its rows again. So no shard's rows meet in one task,
+nor do those of one key, however often it is repeated.
 
 Nulls: a null key is a key of its own. A null text has size 8 and the checksum of the empty text. Equal keys go to
-the same shard and get different slots. Other columns are left out of the result.
+the same shard and get different slots. Texts are measured whole. An empty table gives an empty result. Other columns
+are left out of the result, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +40,15 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
     k = docs.select(
         F.col(key), (F.octet_length(body).cast("long") + F.lit(8)).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         jump_shard(F.col(key), shards).alias("shard"), jump_shard(F.col(key), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    sizes = k.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.xxhash64(F.col(key), "size", "text_crc32", F.lit("bucket")), F.lit(buckets)).cast("int")
+    k = k.groupBy(key, "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
+    sizes = k.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     offsets = sizes.select("shard", "bucket", before.alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(key, "text_crc32", "size")) - 1
-    return k.withColumn("within", within).join(offsets, ["shard", "bucket"]).select(
-        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("within")).cast("long").alias("slot"), "grown_shard"
+    within = F.sum("n").over(Window.partitionBy("shard", "bucket").orderBy(key, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = k.withColumn("within", within).join(offsets, ["shard", "bucket"]).withColumn("first", F.col("offset") + F.col("within"))
+    # a row a copy: generated one by one, never held together
+    return placed.select(
+        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard"
     )

@@ -5,26 +5,29 @@ it takes for repeated are grouped exactly. A word goes if a window over it also
 doc_id; windows are judged on the input. Words are runs of characters other than space and tab to carriage return.
 
 Nulls: a null text has no words; a null doc_id is smaller than all others. Rows that share an id are parts of one
-document: they never remove words of each other. Texts of fewer than ``k`` words stay whole. Empty tables give empty
-results. Other columns pass through ``dedup``; ``q_spans`` is replaced.
+document: they never remove words of each other, and what others say again goes by each row's own text. Equal rows are
+treated alike. Texts of fewer than ``k`` words stay whole; very long ones are read whole, one at a time. Empty tables
+give empty results. ``dedup`` leaves all other columns as they are, whatever their names; ``find`` adds ``q_spans``, in
+place of a column of that name.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import annotate, sha, utf8
-from .repeats import kept_units, mark_repeats, windows_of, with_marks
+from .common import annotate, free_name, sha, utf8
+from .repeats import WindowsOf, kept_units, mark_repeats, with_marks
 
 
 def words_of(text: str | None) -> list[bytes]:
     return utf8(text).split()  # bytes.split() cuts at exactly these six characters
 
 
-def find(docs: DataFrame, k: int = 13) -> DataFrame:
-    """``docs`` with q_spans binary: int32 start and end of the runs of words to remove, null for none."""
-    return with_marks(docs, mark_repeats(docs, words_of, k, windows_of(k), within_doc=False, short=False))
+def find(docs: DataFrame, k: int = 13, name: str = "q_spans") -> DataFrame:
+    """``docs`` with ``name`` binary: int32 start and end of the runs of words to remove, null for none."""
+    return with_marks(docs, mark_repeats(docs, words_of, k, WindowsOf(k), within_doc=False, short=False), name)
 
 
 def dedup(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -34,8 +37,8 @@ def dedup(docs: DataFrame, k: int = 13) -> DataFrame:
         out = [t if s is None or t is None else b" ".join(kept_units(words_of(t), s)).decode("utf-8", "surrogatepass") for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
         return [pa.array(out, pa.string())]
 
-    names = docs.columns
-    return annotate(find(docs, k), "text string", run, ["text", "q_spans"]).select(*names)
+    names, spans = docs.columns, free_name(docs, "q_spans")
+    return annotate(find(docs, k, spans), "text string", run, ["text", spans]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -143,7 +143,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     t = texts(docs)
     got = packing.pack_documents(docs, tokenizer_path(), 256).collect()
     by_doc, by_seq = {}, {}
@@ -172,7 +171,6 @@ def test_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     assert np.frombuffer(packing.encoder(tokenizer_path()).of(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
