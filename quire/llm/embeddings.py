@@ -5,9 +5,11 @@ label's representatives are dealt by hash to shards of about ``rows_per_shard``;
 is queried with every vector of the label: a task takes two shards, searches each one's graph for the other's vectors
 (or its own) and widens beams: those of single queries while their last place still reaches the threshold, and all
 of them until an audit on a sample of queries, which are compared with every vector of the shard, finds ``recall`` of the true
-links. The sample grows until it holds 100 true links; where links are too few for that, it ends as the full comparison.
-A beam of more than a quarter of the shard is replaced by the full comparison, which then costs less. Candidates are verified by cosine in double
-precision. A task sends each vector's number of links and a spanning forest, not its pairs; components are united.
+links. The sample grows until it holds 100 true links, or all queries. Candidates are verified by cosine in double
+precision. The graph is searched whatever the size of the shard; a query whose matches would fill a quarter of the shard
+is compared in full instead of with so wide a beam. A task holds the links of two shards as bits and sends each vector's
+number of links and stars of its components, not its pairs; components are united. ``measured_recall`` compares the
+links of a sample of vectors with a full comparison.
 
 Nulls: vectors that are null or empty, zero, or hold null or non-finite components, and those without a label, link
 with nothing. Rows that repeat a vec_id count once, the one with the smallest (label, vector); a null id is an id like
@@ -188,63 +190,124 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("nd,nd->n", v, v))[:, None]
 
 
-def exact_pairs(a: np.ndarray, b: np.ndarray, threshold: float, rows: int = 512):
-    """Index pairs with cosine >= threshold, by full comparison in blocks."""
-    left, right = [], []
+def exact_pairs(a: np.ndarray, b: np.ndarray, threshold: float, rows: int = 128):
+    """Index pairs with cosine >= threshold, by full comparison, a block of rows of ``a`` at a time."""
     for at in range(0, len(a), rows):
         i, j = np.nonzero(a[at : at + rows] @ b.T >= threshold)
-        left.append(i + at)
-        right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, int), np.empty(0, int))
-
-
-def query(queries: np.ndarray, g: Graph, exact: np.ndarray, threshold: float, recall: float, beam: int = 24, audit: int = 48, links: int = 100, same: bool = False):
-    """(query, row) index pairs with cosine >= threshold: widened beams, audited, then verified in double precision.
-
-    The audit compares queries in full until it holds ``links`` true links; if the queries have no more, all are compared
-    in full by then, and that is the result. ``same``: queries are the rows themselves, which match themselves; that is no link."""
+        if len(i):
+            yield i + at, j
+
+
+class Links:
+    """The links between n rows and m columns as two bit matrices (the second transposed), so that a group of near copies
+    costs n x m / 4 bytes and not its pairs."""
+
+    def __init__(self, n: int, m: int):
+        self.n, self.m = n, m
+        self.bits = (np.zeros((n, (m + 7) // 8), np.uint8), np.zeros((m, (n + 7) // 8), np.uint8))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for bits, x, y in ((self.bits[0], i, j), (self.bits[1], j, i)):
+            np.bitwise_or.at(bits.reshape(-1), x * bits.shape[1] + (y >> 3), np.uint8(1) << (y & 7).astype(np.uint8))
+
+    def weights(self, side: int, weight: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """The sum of the other side's ``weight`` over the links of each row (side 0) or column (side 1)."""
+        bits = self.bits[side]
+        part = [np.unpackbits(bits[a : a + rows], axis=1, count=len(weight), bitorder="little") @ weight for a in range(0, len(bits), rows)]
+        return np.concatenate(part) if part else np.empty(0, np.int64)
+
+    def members(self, side: int, mask: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(mask, count=(self.m, self.n)[side], bitorder="little"))
+
+    def trees(self):
+        """(rows, columns) of each component with a link; every row and column is opened once."""
+        todo = self.bits[0].any(1)
+        for r in range(self.n):
+            if not todo[r]:
+                continue
+            rows, cols = np.asarray([r]), np.empty(0, np.int64)
+            seen = np.zeros(self.bits[0].shape[1], np.uint8)
+            mine, new_rows = [rows], rows
+            todo[r] = False
+            while len(new_rows):
+                reached = np.bitwise_or.reduce(self.bits[0][new_rows], axis=0) & ~seen
+                seen |= reached
+                new_cols = self.members(0, reached)
+                cols = np.append(cols, new_cols)
+                if not len(new_cols):
+                    break
+                back = self.members(1, np.bitwise_or.reduce(self.bits[1][new_cols], axis=0))
+                new_rows = back[todo[back]]
+                todo[new_rows] = False
+                mine.append(new_rows)
+            yield np.concatenate(mine), cols
+
+
+def link_blocks(queries: np.ndarray, g: Graph, exact: np.ndarray, threshold: float, recall: float, beam: int = 24, audit: int = 48, links: int = 100, same: bool = False):
+    """(query, row) index pairs with cosine >= threshold in blocks: the graph is searched with widening beams, audited, and
+    what it finds is verified in double precision.
+
+    The audit compares queries in full until it holds ``links`` true links (``same``: queries are the rows themselves, which
+    match themselves; that is no link), and beams double until the search finds ``recall`` of them. Two cases end in a full
+    comparison, block by block: single queries whose matches fill a quarter of the shard, and an audit that holds all queries
+    or that a beam as wide as the shard fails, as with a graph that isn't connected."""
     n, near_enough = len(exact), np.float32(threshold - 1e-4)
-    if 4 * beam > n:
-        return exact_pairs(queries, exact, threshold)
+    if not n or not len(queries):
+        return
     order = np.argsort(mix(np.arange(len(queries), dtype=U64)), kind="stable")
-    true, held, at = [(np.empty(0, int), np.empty(0, int))], 0, 0
+    true, held, at = [], 0, 0
     while held < links and at < len(queries):
         part = order[at : at + max(audit, at)]
-        i, j = exact_pairs(queries[part], exact, threshold)
-        true.append((part[i], j))
-        held += int((part[i] != j).sum()) if same else len(i)
+        for i, j in exact_pairs(queries[part], exact, threshold):
+            i = part[i]
+            if same:
+                i, j = i[i != j], j[i != j]
+            if held < 100 * links:  # of an audit query with very many links some are enough
+                true.append(i * n + j)
+            held += len(i)
         at += len(part)
-    i, j = (np.concatenate(x) for x in zip(*true, strict=True))
-    if at >= len(queries):
-        return i, j
-    if same:
-        i, j = i[i != j], j[i != j]
-    true = i * n + j
+    true = np.concatenate([np.empty(0, np.int64), *true])
     q32 = queries.astype(np.float32)
     while True:
-        if 4 * beam > n:
-            return exact_pairs(queries, exact, threshold)
-        left, right, todo, wide = [], [], np.arange(len(queries)), beam
+        hits = np.zeros(len(true), bool)
+        todo, wide = np.arange(len(queries)), min(beam, n)
         while len(todo):
-            if 4 * wide > n:
-                i, j = exact_pairs(queries[todo], exact, threshold)
-                left.append(todo[i])
-                right.append(j)
+            open_ones = []
+            rows = max(8, min(256, (1 << 22) // max(n, 64 * wide)))
+            for a in range(0, len(todo), rows):
+                some = todo[a : a + rows]
+                near, sim = g.search(q32[some], wide, rows)
+                open_end = (sim[:, -1] >= near_enough) & (wide < n)  # the last place still reaches the threshold: look further
+                open_ones.append(some[open_end])
+                i, k = np.nonzero((sim >= near_enough) & ~open_end[:, None])
+                i, j = some[i], near[i, k]
+                ok = np.einsum("nd,nd->n", queries[i], exact[j]) >= threshold
+                i, j = i[ok], j[ok]
+                hits |= np.isin(true, i * n + j)
+                yield i, j  # true links, whatever the audit says
+            todo, wide = np.concatenate(open_ones), min(4 * wide, n)
+            if len(todo) and 4 * wide > n:
                 break
-            near, sim = g.search(q32[todo], wide, max(8, min(256, (1 << 22) // max(n, 64 * wide))))
-            open_end = sim[:, -1] >= near_enough  # the last place still reaches the threshold: look further
-            i, k = np.nonzero((sim >= near_enough) & ~open_end[:, None])
-            left.append(todo[i])
-            right.append(near[i, k])
-            todo, wide = todo[open_end], 4 * wide
-        i, j = np.concatenate(left), np.concatenate(right)
-        ok = np.einsum("nd,nd->n", queries[i], exact[j]) >= threshold
-        i, j = i[ok], j[ok]
-        if np.isin(true, i * n + j).sum() >= recall * len(true):
-            return i, j
+        hits |= np.isin(true // n, todo)  # those are compared in full
+        if len(true) - int(hits.sum()) <= (1 - recall) * len(true):
+            for i, j in exact_pairs(queries[todo], exact, threshold):
+                yield todo[i], j
+            if at >= len(queries) and held < links:  # all were compared for the audit: nothing of that is left out
+                yield true // n, true % n
+            return
+        if beam >= n:
+            yield from exact_pairs(queries, exact, threshold)
+            return
         beam *= 2
 
 
+def query(*args, **named) -> tuple[np.ndarray, np.ndarray]:
+    """``link_blocks`` as a whole, each pair once."""
+    pairs = [np.stack(x, 1) for x in link_blocks(*args, **named)]
+    both = np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows_per_shard: int = 16_384, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links long, component_id long, kept boolean): a row for each id."""
     v = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -277,25 +340,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows_per_shard:
                 p = load(raw_p.as_py())
                 q = load(raw_q.as_py()) if raw_q.is_valid else p
                 graph = lambda z: Graph(z["x"].astype(np.float32), [z[f"l{i}"] for i in range(sum(k[0] == "l" for k in z))])
-                i, j = query(q["x"], graph(p), p["x"], threshold, recall, same=q is p)
-                pairs = i.astype(np.int64) * len(p["x"]) + j
-                if q is p:
-                    back = j.astype(np.int64) * len(p["x"]) + i
-                else:
-                    i, j = query(p["x"], graph(q), q["x"], threshold, recall)
-                    back = j.astype(np.int64) * len(p["x"]) + i
-                i, j = np.divmod(np.unique(np.concatenate([pairs, back])), len(p["x"]))
-                if q is p:
-                    i, j = i[i != j], j[i != j]
-                n = np.bincount(i, p["copies"][j], len(q["x"])).astype(np.int64)
-                rows = [(q["ids"], n)]
+                links = Links(len(q["x"]), len(p["x"]))
+                for i, j in link_blocks(q["x"], graph(p), p["x"], threshold, recall, same=q is p):
+                    if q is p:
+                        i, j = i[i != j], j[i != j]
+                        links.add(j, i)
+                    links.add(i, j)
                 if q is not p:
-                    rows.append((p["ids"], np.bincount(j, q["copies"][i], len(p["x"])).astype(np.int64)))
-                f = Forest()
-                edges = [(a, c) for a, c in zip(q["ids"][i].tolist(), p["ids"][j].tolist(), strict=True) if f.union(a, c)]
-                for ids, n in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.nulls(int((n > 0).sum()), pa.int64()), pa.array(n[n > 0])], names=["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([c for _, c in edges], pa.int64()), pa.nulls(len(edges), pa.int64())], names=["a", "b", "n"])
+                    for j, i in link_blocks(p["x"], graph(q), q["x"], threshold, recall):
+                        links.add(i, j)
+                for side, ids, other in ((0, q["ids"], p["copies"]), (1, p["ids"], q["copies"]))[: 1 if q is p else 2]:
+                    n = links.weights(side, other)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.nulls(int((n > 0).sum()), pa.int64()), pa.array(n[n > 0].astype(np.int64))], names=["a", "b", "n"])
+                a, c = [], []
+                for rows, cols in links.trees():
+                    ids = np.append(q["ids"][rows], p["ids"][cols])
+                    a.append(ids)
+                    c.append(np.full(len(ids), ids.min()))
+                a, c = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, c))
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != c]), pa.array(c[a != c]), pa.nulls(int((a != c).sum()), pa.int64())], names=["a", "b", "n"])
 
     found = materialize(low.join(high, ["label", "dim", "i", "j"]).select("p", "q").mapInArrow(lean(search), "a long, b long, n long"))
     degree = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
@@ -307,3 +370,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows_per_shard:
     back = lambda c: F.when(c != F.lit(NULL_ID), c)
     component = F.coalesce("component", "vec_id")
     return out.select(back(F.col("vec_id")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), back(component).alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+
+
+def measured_recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.93, queries: int = 300) -> tuple[int, int]:
+    """(links found, true links) of the ``queries`` vectors first by hash among those that truly have links or were given
+    some: the result's n_links against a full comparison. The sample is bounded, so it is broadcast."""
+    some = vectors.filter("label is not null and embedding is not null and vec_id is not null").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    sample = some.orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(4 * queries).collect()
+    kept: dict = {}
+    for r in sample:
+        if r["v"] and all(x is not None and np.isfinite(x) for x in r["v"]) and any(r["v"]):
+            kept.setdefault((r["label"], len(r["v"])), []).append((r["vec_id"], r["v"]))
+    kept = {k: (np.asarray([i for i, _ in x]), unit(np.asarray([v for _, v in x]))) for k, x in kept.items()}
+
+    def run(batches):
+        for b in batches:
+            by: dict = {}
+            for i, label, v in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if v and (label, len(v)) in kept and all(x is not None and np.isfinite(x) for x in v) and any(v):
+                    by.setdefault((label, len(v)), []).append((i, v))
+            for key, x in by.items():
+                ids, u = kept[key]
+                near = u @ unit(np.asarray([v for _, v in x])).T >= threshold
+                near &= ids[:, None] != np.asarray([i for i, _ in x])[None]
+                n = near.sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["vec_id", "n"])
+
+    true = some.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    chosen = true.orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(queries)
+    row = chosen.join(result.select("vec_id", "n_links"), "vec_id").agg(F.sum(F.least("n", "n_links")).alias("found"), F.sum("n").alias("links")).first()
+    return row["found"] or 0, row["links"] or 0
