@@ -1,27 +1,35 @@
 """Secret scans: fixed base rules, and probabilistic automata inferred from labelled credentials.
 
-Learning (driver, bounded): up to ``per_kind`` credentials of each kind are taken from the base rules' matches in a
-hash sample of the documents, besides generated examples of public token formats. For each kind a prefix tree with
-counts is built and states whose continuations are statistically compatible (Hoeffding bound, ALERGIA with a red and
-a blue set) are merged into a probabilistic automaton. A character model of ordinary tokens of the same sample is the
-alternative hypothesis.
-
-Scoring (all texts): every long token with letters and digits that no base span overlaps is scored by the best
-automaton's log likelihood over that of the ordinary model; from ``threshold`` (nats) on it is a span of kind
-``format``. Base spans are never touched. Positions are code points, ends exclusive; a base span is the whole match.
-
-Nulls: a null text counts as empty. Empty tables give empty results. Repeated rows and ids are judged one by one.
+Learning: one pass over all texts gives the credentials that the base rules label, of which each kind's ``per_kind`` first
+by hash go to the driver (so the sample is bounded and drawn from the whole corpus), with ten times as many ordinary
+tokens of one document in ``sample_of``. Public token formats are labelled by generated examples. For each kind of 20
+examples or more a prefix tree with counts is built and states are merged into a probabilistic automaton: of the red
+states whose continuations are statistically compatible (Hoeffding bound on symbols and ends) and whose expected
+remaining length is the same, as far as the counts can tell, the nearest in remaining length. So prefix and length of a
+format stay in the automaton, and what varies at a place is pooled.
+
+Scoring (all texts): every token of 12 characters on, whatever its letters, is scored by the best automaton's log
+likelihood over that of the best other explanation: the character pairs of ordinary tokens, or characters drawn at random
+from the classes that the token uses. A token that only looks random (a UUID, base64, a checksum) has no advantage over
+the latter. From ``threshold`` (nats) on it is a span of kind ``format``; beside a base span the rest of its token is
+scored, too, and the whole token if it explains more than the span in it. Base spans are never touched. Positions are code
+points, ends exclusive; a base span is the whole match.
+
+Nulls: a null text counts as empty; a null id is kept. Empty tables give empty results. Repeated rows and ids are judged
+one by one. A very long text is scanned whole, in time linear in its length. Columns of other names pass through;
+``find`` replaces one called q_spans, ``redact`` one called redacted.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import annotate, lean
@@ -33,7 +41,7 @@ HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")  # the runs that HEX's matc
 KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
-MAX_SYMBOLS = 64  # of a training string; scoring reads whole tokens
+MAX_SYMBOLS = 256  # of a training string: the prefix tree is bounded, and a cut counts no end; scoring reads whole tokens
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -46,45 +54,63 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 class Automaton:
-    """A probabilistic automaton: per state the counts of symbols, their targets and of ends."""
+    """A probabilistic automaton: per state the counts of symbols, their targets and of ends, and the sums of the lengths
+    (and of their squares) that remained there."""
+
+    back = 20.0  # how many observations the symbols of the whole format weigh against a state's own
 
     def __init__(self):
         self.count: list[dict[str, int]] = []
         self.to: list[dict[str, int]] = []
         self.ends: list[int] = []
+        self.left: list[list[int]] = []
+        self.logs: list[dict[str, float]] = []
 
     def new(self) -> int:
         self.count.append({})
         self.to.append({})
         self.ends.append(0)
+        self.left.append([0, 0, 0])  # strings, remaining lengths, their squares
         return len(self.ends) - 1
 
     def total(self, q: int) -> int:
-        return self.ends[q] + sum(self.count[q].values())
+        return self.left[q][0]
 
     @classmethod
     def tree(cls, words) -> Automaton:
         a = cls()
         a.new()
         for w in words:
-            q = 0
-            for c in w[:MAX_SYMBOLS]:
-                if c not in a.to[q]:
-                    a.to[q][c] = a.new()
-                    a.count[q][c] = 0
-                a.count[q][c] += 1
-                q = a.to[q][c]
+            q, n = 0, min(len(w), MAX_SYMBOLS)
+            for i in range(n + 1):
+                left = a.left[q]
+                left[0], left[1], left[2] = left[0] + 1, left[1] + n - i, left[2] + (n - i) ** 2
+                if i < n:
+                    c = w[i]
+                    a.count[q][c] = a.count[q].get(c, 0) + 1
+                    if c not in a.to[q]:
+                        a.to[q][c] = a.new()
+                    q = a.to[q][c]
             a.ends[q] += len(w) <= MAX_SYMBOLS  # a cut is no end
         return a
 
+    def apart(self, p: int, q: int) -> float | None:
+        """How far the expected remaining lengths are apart; None if further than their counts explain."""
+        (n, s, s2), (m, t, t2) = self.left[p], self.left[q]
+        far = abs(s / n - t / m)
+        spread = max(0.0, (s2 + t2) / (n + m) - ((s + t) / (n + m)) ** 2 - n * m * far * far / (n + m) ** 2)
+        return far if far <= max(0.5, 2 * math.sqrt(spread * (1 / n + 1 / m))) else None
+
     def compatible(self, p: int, q: int, alpha: float) -> bool:
-        todo = [(p, q)]
+        todo, factor = [(p, q)], math.sqrt(0.5 * math.log(2 / alpha))
         while todo:
             p, q = todo.pop()
             n, m = self.total(p), self.total(q)
             if not n or not m:
                 continue
-            bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            bound = factor * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if bound >= 1:  # so few strings contradict nothing, and neither do those below
+                continue
             if abs(self.ends[p] / n - self.ends[q] / m) > bound:
                 return False
             for c in self.count[p].keys() | self.count[q].keys():
@@ -94,54 +120,76 @@ class Automaton:
                     todo.append((self.to[p][c], self.to[q][c]))
         return True
 
-    def fold(self, p: int, q: int) -> None:
-        """Add the subtree of ``q`` to ``p``."""
-        todo = [(p, q)]
+    def fold(self, p: int, q: int) -> list[tuple[int, str]]:
+        """Add the subtree of ``q`` to ``p``; the transitions that are new."""
+        todo, gained = [(p, q)], []
         while todo:
             p, q = todo.pop()
             self.ends[p] += self.ends[q]
+            self.left[p] = [x + y for x, y in zip(self.left[p], self.left[q], strict=True)]
             for c, n in self.count[q].items():
                 self.count[p][c] = self.count[p].get(c, 0) + n
                 if c in self.to[p]:
                     todo.append((self.to[p][c], self.to[q][c]))
                 else:
                     self.to[p][c] = self.to[q][c]
+                    gained.append((p, c))
+        return gained
 
     @classmethod
     def infer(cls, words, alpha: float = 0.02) -> Automaton:
         a = cls.tree(sorted(words))
-        red, queue = [0], sorted((q, 0, c) for c, q in a.to[0].items())
-        while queue:
-            q, parent, c = queue.pop(0)
-            if a.to[parent].get(c) != q:
-                continue
-            for r in red:
+        red, known = [0], {0}
+        blue = [(-a.total(q), q, 0, c) for c, q in a.to[0].items()]  # states of many strings first: they tell most
+        heapq.heapify(blue)
+        while blue:
+            _, q, parent, c = heapq.heappop(blue)
+            near = sorted((far, r) for r in red if (far := a.apart(r, q)) is not None)
+            for _, r in near:
                 if a.compatible(r, q, alpha):
                     a.to[parent][c] = r
-                    a.fold(r, q)
+                    new = [(p, s) for p, s in a.fold(r, q) if p in known]
                     break
             else:
                 red.append(q)
-            known = set(red)
-            queue = sorted({(t, r, s) for r in red for s, t in a.to[r].items() if t not in known})
+                known.add(q)
+                new = [(q, s) for s in a.to[q]]
+            for p, s in new:
+                t = a.to[p][s]
+                if t not in known:
+                    heapq.heappush(blue, (-a.total(t), t, p, s))
         return a.packed(red)
 
     def packed(self, red: list[int]) -> Automaton:
         at, out = {q: i for i, q in enumerate(red)}, Automaton()
+        every: dict[str, int] = {}
+        for q in red:
+            for c, n in self.count[q].items():
+                every[c] = every.get(c, 0) + n
+        symbols = sum(every.values())
+        seen = lambda c: (every.get(c, 0) + 0.5) / (symbols + 48)
         for q in red:
+            n = self.total(q) + self.back
             out.count.append(dict(self.count[q]))
             out.to.append({c: at[t] for c, t in self.to[q].items()})
             out.ends.append(self.ends[q])
+            out.left.append(list(self.left[q]))
+            # the ends of all states are as many as the strings: one in symbols / strings places
+            end = self.total(0) / max(1, symbols + self.total(0))
+            table = {c: math.log((self.count[q].get(c, 0) + self.back * (1 - end) * seen(c)) / n) for c in every}
+            table[""] = math.log((self.ends[q] + self.back * end) / n)
+            table["?"] = math.log(self.back * (1 - end) * seen("") / n)
+            out.logs.append(table)
         return out
 
     def score(self, word: str) -> float:
-        """Log likelihood; an unseen symbol costs as much as a 96th of one more count and keeps the state."""
+        """Log likelihood; a symbol that a state has not seen keeps the state."""
         q, total = 0, 0.0
         for c in word:
-            n = self.total(q)
-            total += math.log((self.count[q].get(c, 0) + 1 / 96) / (n + 1))
+            table = self.logs[q]
+            total += table.get(c, table["?"])
             q = self.to[q].get(c, q)
-        return total + math.log((self.ends[q] + 1 / 96) / (self.total(q) + 1))
+        return total + self.logs[q][""]
 
 
 class Ordinary:
@@ -163,6 +211,17 @@ class Ordinary:
         return sum(math.log((self.pair.get(a + b, 0) + 0.5) / (self.one.get(a, 0) + 48)) for a, b in zip("^" + word, word + "$", strict=True))
 
 
+_CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_.=-")
+
+
+def at_random(word: str) -> float:
+    """Log likelihood of characters drawn evenly from the classes that the word uses (hexadecimal ones are a class of their
+    own); any length up to 64 is as likely."""
+    used = set(word)
+    size = 16 if used <= set("0123456789abcdef") else sum(len(c) for c in _CLASSES if used & set(c)) or 96
+    return -len(word) * math.log(size) - math.log(64)
+
+
 #: Public token formats as (prefix, alphabet, length after the prefix).
 FORMATS = {
     "access": ("AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16),
@@ -185,46 +244,70 @@ class Model:
         self.ordinary = Ordinary(ordinary)
 
     def advantage(self, token: str) -> float:
-        """By how many nats the best format explains the token better than ordinary text does."""
+        """By how many nats the best format explains the token better than ordinary text or chance do."""
         if not self.kinds:
             return -math.inf
-        return max(a.score(token) for a in self.kinds.values()) - self.ordinary.score(token)
+        return max(a.score(token) for a in self.kinds.values()) - max(self.ordinary.score(token), at_random(token))
 
 
 def learn(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_of: int = 16, per_kind: int = 400) -> Model:
-    """Credentials and ordinary tokens of one in ``sample_of`` documents by hash, at most ``per_kind`` (ten times that
-    of ordinary tokens) of each, the first by hash; the base rules label them."""
+    """The model of a corpus, from one pass over it: at most ``per_kind`` credentials of each kind, and ten times that of the
+    ordinary tokens of one in ``sample_of`` documents, the first by hash."""
+    limits = {"assign": per_kind, "hex": per_kind, "access": per_kind, "plain": 10 * per_kind}
 
     def values(batches):
         for b in batches:
-            kind, value = [], []
-            for t in b.column(0).to_pylist():
+            found: set[tuple[str, str]] = set()
+            for t, sampled in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = base_spans(t or "")
-                kind += [KINDS[k] for _, k, _, _ in spans]
-                value += [v[: MAX_SYMBOLS + 1] for *_, v in spans]  # one more tells of a cut
-                secret = {v for *_, v in spans}
-                plain = {w[:MAX_SYMBOLS] for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "")} - secret
-                # long mixed tokens are candidates, not ordinary ones
-                plain = sorted(w for w in plain if not (len(w) >= 20 and _MIXED.match(w)) and not any(w in s or s in w for s in secret))
-                kind += ["plain"] * len(plain)
-                value += plain
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string())], names=["kind", "value"])
-
-    some = docs.filter(F.pmod(F.xxhash64(F.col(key), F.lit("secrets")), F.lit(sample_of)) == 0).select(text)
-    got = some.mapInArrow(lean(values), "kind string, value string").groupBy("kind", "value").agg(F.min(F.xxhash64("value")).alias("h"))
-    credentials = generated(max(20, per_kind // 4))
-    limits = {"assign": per_kind, "hex": per_kind, "access": per_kind, "plain": 10 * per_kind}
-    rows = None
-    for k, n in limits.items():
-        part = got.filter(F.col("kind") == k).orderBy("h", "value").limit(n)
-        rows = part if rows is None else rows.unionByName(part)
-    plain: list[str] = []
-    for r in rows.collect():  # at most 13 x per_kind strings of at most MAX_SYMBOLS characters
-        (plain if r["kind"] == "plain" else credentials.setdefault(r["kind"], [])).append(r["value"])
-    return Model(credentials, plain)
-
-
-def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 15.0) -> DataFrame:
+                found.update((KINDS[k], v[: MAX_SYMBOLS + 1]) for _, k, _, v in spans)  # one more tells of a cut
+                if sampled:
+                    secret = {v for *_, v in spans}
+                    plain = {w[:MAX_SYMBOLS] for w in re.findall(r"[A-Za-z0-9+/_.=-]{4,}", t or "")} - secret
+                    # long mixed tokens are candidates, not ordinary ones
+                    found.update(("plain", w) for w in plain if not (len(w) >= 20 and _MIXED.match(w)) and not any(w in s or s in w for s in secret))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], names=["kind", "value"])
+
+    sampled = F.coalesce(F.pmod(F.xxhash64(F.col(key), F.lit("secrets")), F.lit(sample_of)) == 0, F.lit(False))
+    got = docs.select(F.col(text), sampled.alias("sampled")).mapInArrow(lean(values), "kind string, value string").distinct()
+    # the limit of the rank is applied before the rows are sent
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    rows = got.withColumn("rank", rank).filter(F.col("rank") <= 10 * per_kind)
+    credentials, plain = generated(per_kind), []
+    for r in rows.collect():  # at most 40 x per_kind strings of at most MAX_SYMBOLS + 1 characters
+        if r["rank"] <= limits[r["kind"]]:
+            (plain if r["kind"] == "plain" else credentials.setdefault(r["kind"], [])).append(r["value"])
+    return Model(credentials, sorted(plain))
+
+
+def format_spans(t: str, base: list[tuple[int, int]], advantage, threshold: float) -> list[tuple[int, int]]:
+    """The spans (start, end) that the automata add to ``base``, sorted base spans: one walk over tokens and spans."""
+    out, live, nxt = [], [], 0
+    for m in CANDIDATE.finditer(t):
+        low, high = m.span()
+        while nxt < len(base) and base[nxt][0] < high:
+            live.append(base[nxt])
+            nxt += 1
+        live = [x for x in live if x[1] > low]  # a span that ends before this token meets no later one
+        inside = [(max(s, low), min(e, high)) for s, e in live]
+        # a token that holds base spans must be explained better as a whole than they are, or a part beside them
+        at, beside = low, []
+        for s, e in inside:
+            beside.append((at, s))
+            at = max(at, e)
+        beside = [(s, e) for s, e in [*beside, (at, high)] if s < e]
+        if not beside:
+            continue
+        known = max((advantage(t[s:e]) for s, e in inside), default=0.0)
+        if advantage(m[0]) >= threshold + max(known, 0.0):
+            out.append((low, high))
+        elif inside:
+            out += [(s, e) for s, e in beside if e - s >= 12 and advantage(t[s:e]) >= threshold]
+    return out
+
+
+def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 10.0) -> DataFrame:
     """``docs`` with q_spans array<struct<kind string, start int, end int>>, by start, then kind."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -232,24 +315,9 @@ def find(docs: DataFrame, model: Model, text: str = "text", threshold: float = 1
         advantage = lru_cache(100_000)(model.advantage)
         out = []
         for t in texts.to_pylist():
-            if not t:
-                out.append([])
-                continue
-            spans = [(s, k, e) for s, k, e, _ in base_spans(t)]
-            taken = sorted((s, e) for s, _, e in spans)
-            for m in CANDIDATE.finditer(t):
-                inside = [(max(s, m.start()), min(e, m.end())) for s, e in taken if s < m.end() and m.start() < e]
-                # a token that holds base spans must be explained better as a whole than they are, or a part beside them
-                known = max((advantage(t[s:e]) for s, e in inside), default=0.0)
-                at, beside = m.start(), []
-                for s, e in inside:
-                    beside.append((at, s))
-                    at = max(at, e)
-                beside = [(s, e) for s, e in [*beside, (at, m.end())] if s < e]
-                if beside and advantage(m[0]) >= threshold + max(known, 0.0):
-                    spans.append((m.start(), 3, m.end()))
-                elif inside:
-                    spans += [(s, 3, e) for s, e in beside if e - s >= 12 and advantage(t[s:e]) >= threshold]
+            spans = [(s, k, e) for s, k, e, _ in base_spans(t)] if t else []
+            if t:
+                spans += [(s, 3, e) for s, e in format_spans(t, sorted((s, e) for s, _, e in spans), advantage, threshold)]
             out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
         return [pa.array(out, kind)]
 
