@@ -62,7 +62,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
-    return linededup.digest(linededup.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return linededup.digest(linededup.find(table(spark, sf_dir, "documents").select("doc_id", "text"), least=linededup.LEAST))
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,8 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT doc_id, count(DISTINCT item) n_items, sha256(array_to_string(list_sort(list(DISTINCT item)), ',')) s FROM h GROUP BY 1)
             SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated FROM d LEFT JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)""",
         "op8_lines": """WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END w FROM documents),
-            x AS (SELECT doc_id, i, least(3, len(w)) m, w[i:i+least(3, len(w))-1] g FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(3, len(w)) + 2)) i) WHERE len(w) > 0),
+            z AS (SELECT *, list_transform(w, lambda y: greatest(len(regexp_extract_all(y, '[^\\x20\\x09-\\x0D]+')), strlen(y) // 8)) n FROM d WHERE len(w) > 0),
+            x AS (SELECT doc_id, i, m, w[i:i+m-1] g FROM z, LATERAL (SELECT unnest(range(1, 4)) m) u, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) i) v WHERE m = 3 OR m = len(w) OR list_sum(n[i:i+m-1]) >= 8),
             f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) rn FROM x),
             k AS (SELECT doc_id, list(DISTINCT j) gone FROM f, LATERAL (SELECT unnest(range(i, i+m)) j) WHERE rn > 1 GROUP BY 1)
             SELECT doc_id, CAST(len(w) AS BIGINT) n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) n_removed, sha256(array_to_string(list_filter(w, lambda v, i: NOT list_contains(coalesce(gone, []), i)), chr(10))) kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
