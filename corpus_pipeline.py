@@ -1,7 +1,11 @@
 """A training corpus from raw documents: rejected, repeated, near-duplicate and contaminated text goes, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of documents.
+one's ``docs``. All but the last return the columns of documents, whatever other columns those have.
+
+In every stage a null text counts as empty and a null doc_id is an id like any other; ties go to the smaller id; equal rows
+share one fate; an empty table gives an empty one; texts are read whole, however long. Each operator's docstring has the
+details. A stage's table is deleted once the next one's is written.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontam, jaccard, linededup, packing, quality
-from quire.llm.common import materialize
+from quire.llm.common import discard, materialize
 from quire.llm.queries import table, tokenizer_path
 
 
@@ -54,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        made = materialize(stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
