@@ -74,7 +74,7 @@ def input_bytes(df: DataFrame) -> int:
     return n if n < 1 << 50 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def blocks_for(df: DataFrame, mb: int = 8, least: int = 16) -> int:
+def blocks_for(df: DataFrame, mb: int = 4, least: int = 16) -> int:
     """A power of two of blocks, one for each ``mb`` MB of input, whatever its size: what a block holds doesn't grow."""
     n = max(least, math.ceil(input_bytes(df) / (mb << 20)))
     return 1 << (n - 1).bit_length()

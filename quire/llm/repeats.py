@@ -124,7 +124,7 @@ def flagged_cells(texts: DataFrame, grams: Callable[[list], tuple[np.ndarray, np
             if n_held:
                 h, who, people = (np.concatenate(x) for x in zip(*held, strict=True))
                 order, starts = groups(h)
-                count = np.empty(len(h), np.int64)
+                count = np.empty(len(h), np.int32)
                 count[order] = spread(np.diff(np.append(starts, len(h))), starts, len(h))
                 first = np.zeros(len(h), bool)
                 first[order[starts]] = True
@@ -140,9 +140,9 @@ def flagged_cells(texts: DataFrame, grams: Callable[[list], tuple[np.ndarray, np
                 own = np.stack([counts.astype(np.uint32), ids.view(np.uint32)[::2], ids.view(np.uint32)[1::2]], 1).ravel()
                 three = np.repeat(np.arange(len(keys)), 3)
                 yield from pack(2, doc_block(keys, n_blocks)[three], three, keys, cells=own, n=NONE)
-            held.append((h, np.repeat(np.arange(n_people, n_people + len(keys)), counts), keys))
+            held.append((h, np.repeat(np.arange(n_people, n_people + len(keys), dtype=np.int32), counts), keys))
             n_held, n_people = n_held + len(h), n_people + len(keys)
-            if n_held > 1_000_000:
+            if n_held > 500_000:
                 yield from settle()
         yield from settle()
 
@@ -185,7 +185,7 @@ class Marks:
     bloom: Bloom | None
 
 
-def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[..., tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 8, sizes: Callable[[list[bytes]], np.ndarray] | None = None, least: int = 0) -> Marks:
+def mark_repeats(docs: DataFrame, units: Callable[[str | None], list[bytes]], k: int, prefilter: Callable[..., tuple[np.ndarray, np.ndarray]], within_doc: bool, short: bool, mb: int = 4, sizes: Callable[[list[bytes]], np.ndarray] | None = None, least: int = 0) -> Marks:
     """Marks every unit in a window of ``k`` units that also starts earlier: in a document with a smaller id
     (``within_doc``: or before in the same one). ``short``: a text of fewer units is one window. With ``sizes``, which
     gives the size of each unit, fewer units whose sizes come to ``least`` or more are a window, too.
