@@ -23,18 +23,19 @@ def doc_window():
 def with_paths(nodes: DataFrame, max_depth: int = 200) -> DataFrame:
     """``nodes`` that the body reaches, with path array<int>, depth int: a join a level, as deep as the data are.
 
-    Each level is a table in the shared folder, since every later step reads it. Deeper trees than ``max_depth`` raise an error."""
+    Each level is a table in the shared folder, since every later step reads it. From ``max_depth`` on the nodes are counted:
+    more levels than nodes mean that parents form a ring, which raises an error."""
     slim = nodes.select("doc_id", "ref", "parent_ref", "child_pos")
     level = materialize(slim.filter(F.col("parent_ref") == BODY).select("doc_id", "ref", F.array("child_pos").alias("path")))
-    paths, depth = level, 1
+    paths, depth, bound = level, 1, 0
     while True:
         up = level.select("doc_id", F.col("ref").alias("parent_ref"), F.col("path").alias("up"))
         level = materialize(slim.join(up, ["doc_id", "parent_ref"]).select("doc_id", "ref", F.concat("up", F.array("child_pos")).alias("path")))
         if level.isEmpty():
             break
         depth += 1
-        if depth > max_depth:
-            raise ValueError(f"a tree is deeper than {max_depth} levels, or its parents form a ring")
+        if depth > max_depth and depth > (bound := bound or slim.count()):
+            raise ValueError("the parents of some nodes form a ring")
         paths = paths.unionByName(level)
     return nodes.join(paths, ["doc_id", "ref"]).withColumn("depth", F.size("path"))
 
@@ -239,7 +240,7 @@ def hierarchize(nodes: DataFrame) -> DataFrame:
         is_open = F.col(f"l{i}").isNotNull() & (F.col(f"l{i}.child_pos") > (F.greatest(*lower) if len(lower) > 1 else lower[0] if lower else F.lit(-1)))
         parent = F.when(is_open & (F.col("h").isNull() | (F.col("h") > k)), F.col(f"l{i}.ref")).otherwise(parent)
     moved = top.select("doc_id", "ref", F.coalesce(parent, F.lit(BODY)).alias("new_parent"))
-    out = nodes.join(moved, ["doc_id", "ref"], "left").withColumn("at", F.col("child_pos") + F.when((F.col("parent_ref") == BODY) & (F.col("new_parent") != BODY), F.lit(1 << 20)).otherwise(F.lit(0)))
+    out = nodes.join(moved, ["doc_id", "ref"], "left").withColumn("at", F.struct(F.coalesce((F.col("parent_ref") == BODY) & (F.col("new_parent") != BODY), F.lit(False)).alias("moved"), "child_pos"))
     return renumber(out.withColumn("parent_ref", F.coalesce("new_parent", "parent_ref")).drop("new_parent"), "at").drop("at")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -33,6 +34,24 @@ def render_markdown_lists(spark, sf):
     return r.markdown(geo_lists(spark, sf))
 
 
+def _captioned(spark, sf):
+    """Web pages whose second paragraph stands for a picture: the first is its caption, the third its footnote."""
+    n = tq.web(spark, sf).filter("layer = 'body'")
+    w = Window.partitionBy("doc_id", "label").orderBy("path")
+    n = n.withColumn("k", F.when(F.col("label") == "text", F.row_number().over(w) - 1)).withColumn("label", F.when(F.col("k") == 1, "picture").otherwise(F.col("label")))
+    owner = n.filter("k = 1").select("doc_id", F.col("ref").alias("owner_ref"))
+    refs = n.filter("k in (0, 2)").select("doc_id", F.when(F.col("k") == 0, "caption").otherwise("footnote").alias("role"), F.lit(0).alias("pos"), F.col("ref").alias("target_ref"))
+    return r.with_floats(n, refs.join(owner, "doc_id"))
+
+
+def render_captions(spark, sf):
+    return r.markdown(_captioned(spark, sf))
+
+
+def render_html_captions(spark, sf):
+    return r.html(_captioned(spark, sf), head="", end="")
+
+
 def render_text(spark, sf):
     return r.plain_text(tq.web(spark, sf))
 
@@ -118,7 +137,7 @@ def layout_svg(spark, sf):
     return r.svg(r.draw_list(*_placed(spark, sf)), 200, 120)
 
 
-_F = (draw_list, layout_svg, render_markdown, render_markdown_lists, render_text, render_html, render_html_lists, render_doctags, render_latex, render_azure, render_vtt, render_outline, table_of_contents, parse_doctags, parse_vtt, cue_order, text_functions, timestamps)
+_F = (render_captions, render_html_captions, draw_list, layout_svg, render_markdown, render_markdown_lists, render_text, render_html, render_html_lists, render_doctags, render_latex, render_azure, render_vtt, render_outline, table_of_contents, parse_doctags, parse_vtt, cue_order, text_functions, timestamps)
 QUERIES = {f.__name__: f for f in _F}
 
 _H = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -127,8 +146,12 @@ _LATEX = "list_reduce(list_transform(string_split(text, ''), lambda c: CASE c WH
 _GL = tq.GEO + ", li AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_ref ORDER BY path) lp, ascii(right(parent_ref, 1)) % 3 = 0 en FROM s WHERE label = 'list_item'), bl AS (SELECT doc_id, min(path) path, {list} t FROM li GROUP BY doc_id, parent_ref, en UNION ALL SELECT doc_id, path, {head} FROM s WHERE label <> 'list_item') "
 _TS = "printf('%02d:%02d:%02d.%03d', CAST({0} // 3600000 AS BIGINT), CAST({0} // 60000 % 60 AS BIGINT), CAST({0} // 1000 % 60 AS BIGINT), CAST({0} % 1000 AS BIGINT))"
 _CUES = "WITH c AS (SELECT conv_id doc_id, turn seq, role voice, replace(text, chr(10), ' ') AS text, CAST(turn // 2 AS BIGINT) b FROM conversations WHERE text IS NOT NULL), g AS (SELECT doc_id, b, string_agg('<v ' || voice || '>' || text || '</v>', '' ORDER BY seq) p FROM c GROUP BY 1, 2) "
+_FLOATS = ", k AS (SELECT *, CASE WHEN label = 'text' THEN row_number() OVER (PARTITION BY doc_id, label ORDER BY child_pos) - 1 END k FROM w WHERE layer = 'body'), f AS (SELECT *, max(CASE WHEN k = 0 THEN {0} END) OVER (PARTITION BY doc_id) cap, max(CASE WHEN k = 2 THEN {0} END) OVER (PARTITION BY doc_id) note, max(k) OVER (PARTITION BY doc_id) last FROM k) "
+_MD = _H.format("regexp_replace(text, $$_$$, $$" + chr(92) * 2 + "_$$, $$g$$)")
 ORACLE = {
-    "render_markdown": tq.WEB + f"SELECT doc_id, string_agg(CASE WHEN label = 'title' THEN '# ' ELSE '' END || {_H.format('regexp_replace(text, $$_$$, $$' + chr(92) * 2 + '_$$, $$g$$)')}, chr(10) || chr(10) ORDER BY child_pos) AS text {_WHERE} GROUP BY 1",
+    "render_captions": tq.WEB + _FLOATS.format(_MD) + f"SELECT doc_id, string_agg(CASE WHEN k = 1 THEN cap || chr(10) || chr(10) || '<!-- image -->' || coalesce(chr(10) || chr(10) || note, '') ELSE CASE WHEN label = 'title' THEN '# ' ELSE '' END || {_MD} END, chr(10) || chr(10) ORDER BY child_pos) AS text FROM f WHERE NOT coalesce(last >= 1 AND k IN (0, 2), false) GROUP BY 1",
+    "render_html_captions": tq.WEB + _FLOATS.format(_H.format("text")) + f"SELECT doc_id, string_agg(CASE WHEN k = 1 THEN '<figure><figcaption>' || cap || '</figcaption></figure>' || coalesce(chr(10) || '<p>' || note || '</p>', '') WHEN label = 'title' THEN '<h1>' || {_H.format('text')} || '</h1>' ELSE '<p>' || {_H.format('text')} || '</p>' END, chr(10) ORDER BY child_pos) AS text FROM f WHERE NOT coalesce(last >= 1 AND k IN (0, 2), false) GROUP BY 1",
+    "render_markdown": tq.WEB + f"SELECT doc_id, string_agg(CASE WHEN label = 'title' THEN '# ' ELSE '' END || {_MD}, chr(10) || chr(10) ORDER BY child_pos) AS text {_WHERE} GROUP BY 1",
     "render_markdown_lists": _GL.format(list="string_agg(CASE WHEN en THEN lp || '. ' ELSE '- ' END || replace(text, '_', chr(92) || '_'), chr(10) ORDER BY path)", head="repeat('#', (lvl + 1)::BIGINT) || ' ' || replace(text, '_', chr(92) || '_')") + "SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY path) AS text FROM bl GROUP BY 1",
     "render_text": tq.WEB + f"SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY child_pos) AS text {_WHERE} GROUP BY 1",
     "render_html": tq.WEB + f"SELECT doc_id, string_agg(CASE WHEN label = 'title' THEN '<h1>' ELSE '<p>' END || {_H.format('text')} || CASE WHEN label = 'title' THEN '</h1>' ELSE '</p>' END, chr(10) ORDER BY child_pos) AS text {_WHERE} GROUP BY 1",

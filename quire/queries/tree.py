@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import build
 from ..operators import tree as t
 from ..sources import tables as src
 from ..storage import materialize
@@ -171,7 +172,26 @@ def concatenated_names(spark, sf):
     return t.concatenated_names(o)
 
 
-_F = (preorder_traversal, label_counts, layer_filter, furniture_traversal, excluded_nodes, slice_by_index, page_filter, page_breaks, resolve_refs, caption_text, heading_levels, element_tree, duplicate_refs, orphan_check, misplaced_lists, wrapped_lists, delete_subtree, extract_range, delete_range, insert_after, replace_item, flatten, hierarchize, filter_pages, concatenate_docs, concatenated_names)
+def build_document(spark, sf):
+    """Orders as documents: a title, a heading a line status, a paragraph a line, a table at the end, added in two calls."""
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("seq"), F.lit("title").alias("label"), F.col("o_orderpriority").alias("text"))
+    empty = o.limit(0).select("doc_id", F.lit("").alias("ref"), F.lit("").alias("parent_ref"), F.lit(0).alias("child_pos"), "label", "text", F.lit("").alias("kind"))
+    li = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n"), "l_linestatus", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = li.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).join(o.select("doc_id"), "doc_id", "left_semi")
+    lines = li.select("doc_id", F.col("n").alias("seq"), F.when(F.col("n") % 3 == 1, "section_header").otherwise("list_item").alias("label"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"))
+    table = o.select("doc_id", F.lit(1000).alias("seq"), F.lit("table").alias("label"), F.lit(None).cast("string").alias("text"))
+    n = build.add_items(build.add_items(empty, o), lines.unionByName(table))
+    return n.select("doc_id", "ref", "parent_ref", "child_pos", "kind", "label", "text", "heading_level", "marker")
+
+
+def build_lists(spark, sf):
+    """A list a market segment in the document of each nation, its customers the items."""
+    c = _read(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_mktsegment").alias("list_ix"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("text"))
+    base = _read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit("#/texts/0").alias("ref"), F.lit(t.BODY).alias("parent_ref"), F.lit(0).alias("child_pos"), F.lit("title").alias("label"), F.col("n_name").alias("text"), F.lit("texts").alias("kind"))
+    return build.add_lists(base, c).select("doc_id", "ref", "parent_ref", "child_pos", "label", "text")
+
+
+_F = (build_document, build_lists, preorder_traversal, label_counts, layer_filter, furniture_traversal, excluded_nodes, slice_by_index, page_filter, page_breaks, resolve_refs, caption_text, heading_levels, element_tree, duplicate_refs, orphan_check, misplaced_lists, wrapped_lists, delete_subtree, extract_range, delete_range, insert_after, replace_item, flatten, hierarchize, filter_pages, concatenate_docs, concatenated_names)
 QUERIES = {f.__name__: f for f in _F}
 
 GEO = """WITH RECURSIVE j AS (SELECT r_regionkey::BIGINT d, n_nationkey nk, n_name, c_mktsegment seg, c_custkey ck, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -193,6 +213,15 @@ w AS (SELECT *, (child_pos // 10 + 1)::INT page_no, row_number() OVER (PARTITION
 _RN = "(row_number() OVER (PARTITION BY doc_id, parent_ref ORDER BY {}) - 1)::INT"
 _SQL = "doc_id, ref, parent_ref, {} child_pos, label, text"
 ORACLE = {
+    "build_document": """WITH l AS (SELECT l_orderkey doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) n, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+ m AS (SELECT doc_id, max(n) m FROM l GROUP BY 1), u AS (SELECT o_orderkey doc_id, 0 p, 'texts' kind, 'title' AS label, o_orderpriority AS text, 0 lvl, NULL AS marker FROM orders
+ UNION ALL SELECT doc_id, n, 'texts', CASE WHEN n % 3 = 1 THEN 'section_header' ELSE 'list_item' END, 'part ' || l_partkey, CASE WHEN n % 3 = 1 THEN 1 END, CASE WHEN n % 3 <> 1 THEN '-' END FROM l
+ UNION ALL SELECT o_orderkey, coalesce(m, 0) + 1, 'tables', 'table', NULL, NULL, NULL FROM orders LEFT JOIN m ON doc_id = o_orderkey)
+ SELECT doc_id, '#/' || kind || '/' || CASE WHEN kind = 'tables' THEN 0 ELSE p END ref, '#/body' parent_ref, p::INT child_pos, kind, label, text, lvl::INT heading_level, marker FROM u""",
+    "build_lists": """WITH c AS (SELECT c_nationkey::BIGINT doc_id, c_mktsegment s, c_custkey k, c_name, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) f FROM customer), r AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY f) - 1 g FROM c)
+ SELECT n_nationkey::BIGINT doc_id, '#/texts/0' ref, '#/body' parent_ref, 0::INT child_pos, 'title' AS label, n_name AS text FROM nation
+ UNION ALL SELECT DISTINCT doc_id, '#/groups/' || g, '#/body', (CASE WHEN doc_id IN (SELECT n_nationkey FROM nation) THEN 1 ELSE 0 END + g)::INT, 'list', NULL FROM r
+ UNION ALL SELECT doc_id, '#/texts/' || (CASE WHEN doc_id IN (SELECT n_nationkey FROM nation) THEN 1 ELSE 0 END + row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1), '#/groups/' || g, (row_number() OVER (PARTITION BY doc_id, g ORDER BY k) - 1)::INT, 'list_item', c_name FROM r""",
     "preorder_traversal": GEO + "SELECT doc_id, ref, len(path)::INT AS depth, seq, array_to_string(path, '.') path FROM s",
     "label_counts": WEB + "SELECT label, layer, count(*) n, sum(length(text))::BIGINT chars FROM w GROUP BY 1, 2",
     "layer_filter": WEB + "SELECT doc_id, ref, seq, label FROM w WHERE layer = 'body'",
