@@ -20,22 +20,22 @@ def doc_window():
 
 
 # -------------------------------------------------------------------- traversal
-def with_paths(nodes: DataFrame, max_depth: int = 200) -> DataFrame:
+def with_paths(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``nodes`` that the body reaches, with path array<int>, depth int: a join a level, as deep as the data are.
 
-    Each level is a table in the shared folder, since every later step reads it. From ``max_depth`` on the nodes are counted:
-    more levels than nodes mean that parents form a ring, which raises an error."""
+    Each level is a table in the shared folder, since every later step reads it. A tree is as deep as it is:
+    the body reaches no ring of parents. Only with ``max_depth`` deeper trees raise an error."""
     slim = nodes.select("doc_id", "ref", "parent_ref", "child_pos")
     level = materialize(slim.filter(F.col("parent_ref") == BODY).select("doc_id", "ref", F.array("child_pos").alias("path")))
-    paths, depth, bound = level, 1, 0
+    paths, depth = level, 1
     while True:
         up = level.select("doc_id", F.col("ref").alias("parent_ref"), F.col("path").alias("up"))
         level = materialize(slim.join(up, ["doc_id", "parent_ref"]).select("doc_id", "ref", F.concat("up", F.array("child_pos")).alias("path")))
         if level.isEmpty():
             break
         depth += 1
-        if depth > max_depth and depth > (bound := bound or slim.count()):
-            raise ValueError("the parents of some nodes form a ring")
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"a tree is deeper than {max_depth} levels")
         paths = paths.unionByName(level)
     return nodes.join(paths, ["doc_id", "ref"]).withColumn("depth", F.size("path"))
 

@@ -17,7 +17,7 @@ from ..operators.tree import above, excluded
 from ..schema import DEFAULT_LABELS
 
 LISTS = ("list", "ordered_list")
-OPTIONAL = {"heading_level": "int", "marker": "string", "enumerated": "boolean", "code_language": "string", "hyperlink": "string", "orig": "string", "block": "string", "location": "string", "page_no": "int", "caption": "string", "footnote": "string", "is_float": "boolean", "formatting": "struct<bold: boolean, italic: boolean, underline: boolean, strikethrough: boolean, script: string>"}
+OPTIONAL = {"heading_level": "int", "marker": "string", "enumerated": "boolean", "code_language": "string", "hyperlink": "string", "orig": "string", "block": "string", "location": "string", "page_no": "int", "formatting": "struct<bold: boolean, italic: boolean, underline: boolean, strikethrough: boolean, script: string>"}
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,9 @@ def with_floats(nodes: DataFrame, refs: DataFrame) -> DataFrame:
 
 def floated(part: Column, caption: Column, footnote: Column, glue: str) -> Column:
     """The caption, the item and its footnotes; nothing for what is rendered with its owner."""
-    return F.when(F.coalesce("is_float", F.lit(False)), F.lit(None)).otherwise(F.concat_ws(glue, caption, F.nullif(part, F.lit("")), footnote))
+    # each part stands once in the expression: styles nest, and a copy would double it
+    some = F.filter(F.array(caption, part, footnote), lambda x: x.isNotNull() & (x != ""))
+    return F.when(~F.coalesce("is_float", F.lit(False)), F.array_join(some, glue))
 
 
 def prepare(nodes: DataFrame, o: Options) -> DataFrame:
@@ -127,7 +129,9 @@ def markdown(nodes: DataFrame, o: Options = Options(), plain: bool = False) -> D
     if not plain:
         part = F.when((label == "picture") & F.col("block").isNull(), F.lit("<!-- image -->")).otherwise(part)
     note = lambda c: tx.html_escape(tx.escape_underscores(F.col(c)), quote=False) if o.escape and not plain else F.col(c)
-    return assemble(prepare(nodes, o), floated(part, note("caption"), note("footnote"), "\n\n"), "\n\n", page_break=o.page_break)
+    if "is_float" in nodes.columns:
+        part = floated(part, note("caption"), note("footnote"), "\n\n")
+    return assemble(prepare(nodes, o), part, "\n\n", page_break=o.page_break)
 
 
 def plain_text(nodes: DataFrame, o: Options = Options()) -> DataFrame:
@@ -148,12 +152,13 @@ def html(nodes: DataFrame, o: Options = Options(), head: str = HTML_HEAD, end: s
     p = F.when(tx.is_rtl(raw), F.concat(F.lit('<p dir="rtl">'), t, F.lit("</p>"))).otherwise(wrap(F.lit("p"), t))
     code = F.when(_inline(), wrap(F.lit("code"), t)).otherwise(F.concat(F.lit("<pre><code>"), tx.html_escape(raw, quote=False), F.lit("</code></pre>")))
     part = F.when(F.col("block").isNotNull(), F.col("block")).when(is_heading(), wrap(F.concat(F.lit("h"), level.cast("string")), t)).when(label == "code", code).when(label == "list_item", wrap(F.lit("li"), t)).when(_inline(), t).otherwise(p)
-    note = lambda c: tx.html_escape(F.col(c), quote=False)
-    table = F.concat(F.lit("<table><caption>"), note("caption"), F.lit("</caption>"), F.substr("block", F.lit(8)))
-    part = F.when(F.startswith("block", F.lit("<table>")) & F.col("caption").isNotNull(), table).otherwise(part)
-    figure = wrap(F.lit("figure"), F.concat(F.coalesce("block", F.lit("")), F.coalesce(wrap(F.lit("figcaption"), note("caption")), F.lit(""))))
-    part = F.when(label == "picture", figure).otherwise(part)
-    part = floated(part, F.lit(None).cast("string"), wrap(F.lit("p"), note("footnote")), "\n")
+    if "is_float" in nodes.columns:
+        note = lambda c: tx.html_escape(F.col(c), quote=False)
+        table = F.concat(F.lit("<table><caption>"), note("caption"), F.lit("</caption>"), F.substr("block", F.lit(8)))
+        part = F.when(F.startswith("block", F.lit("<table>")) & F.col("caption").isNotNull(), table).otherwise(part)
+        figure = wrap(F.lit("figure"), F.concat(F.coalesce("block", F.lit("")), F.coalesce(wrap(F.lit("figcaption"), note("caption")), F.lit(""))))
+        part = F.when(label == "picture", figure).otherwise(part)
+        part = floated(part, F.lit(None).cast("string"), wrap(F.lit("p"), note("footnote")), "\n")
     tag = F.when(F.coalesce("b.first_enumerated", F.lit(False)), F.lit("ol")).otherwise(F.lit("ul"))
     out = assemble(prepare(nodes, o), part, "\n", F.concat(F.lit("<"), tag, F.lit(">\n")), F.concat(F.lit("\n</"), tag, F.lit(">")))
     return out.withColumn("text", F.concat(F.lit(head), F.col("text"), F.lit(end)))
@@ -165,9 +170,11 @@ def doctags(nodes: DataFrame, o: Options = Options()) -> DataFrame:
     label = F.col("label")
     tag = F.when(label == "section_header", F.concat(F.lit("section_header_level_"), F.coalesce("heading_level", F.lit(1)).cast("string"))).when(label == "table", F.lit("otsl")).otherwise(label)
     body = F.concat(F.coalesce("location", F.lit("")), F.when(label == "code", F.concat(F.lit("<_"), F.coalesce("code_language", F.lit("unknown")), F.lit("_>"))).otherwise(F.lit("")), F.coalesce("block", raw))
-    body = F.concat(body, F.coalesce(F.concat(F.lit("<caption>"), F.trim("caption"), F.lit("</caption>")), F.lit("")))
+    if "is_float" in nodes.columns:
+        body = F.concat(body, F.coalesce(F.concat(F.lit("<caption>"), F.trim("caption"), F.lit("</caption>")), F.lit("")))
     part = F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">"))
-    part = floated(part, F.lit(None).cast("string"), F.concat(F.lit("<footnote>"), F.col("footnote"), F.lit("</footnote>")), "\n")
+    if "is_float" in nodes.columns:
+        part = floated(part, F.lit(None).cast("string"), F.concat(F.lit("<footnote>"), F.col("footnote"), F.lit("</footnote>")), "\n")
     kind = F.when(F.coalesce("b.first_enumerated", F.lit(False)), F.lit("ordered_list")).otherwise(F.lit("unordered_list"))
     out = assemble(prepare(nodes, o), part, "\n", F.concat(F.lit("<"), kind, F.lit(">")), F.concat(F.lit("\n</"), kind, F.lit(">")), page_break="<page_break>")
     return out.withColumn("text", F.concat(F.lit("<doctag>"), F.col("text"), F.lit("\n</doctag>")))
@@ -183,9 +190,10 @@ def latex(nodes: DataFrame, o: Options = Options(), document_class: str = r"\doc
     code = F.when(_inline(), F.concat(F.lit(r"\texttt{"), F.replace(raw, F.lit("#"), F.lit("\\\\#")), F.lit("}"))).otherwise(F.concat(F.lit("\\begin{verbatim}\n"), raw, F.lit("\n\\end{verbatim}")))
     formula = F.when(raw != "", F.when(_inline(), F.concat(F.lit("$"), raw, F.lit("$"))).otherwise(F.concat(F.lit("$$"), raw, F.lit("$$")))).when(F.coalesce("orig", F.lit("")) != "", F.lit("% formula-not-decoded")).otherwise(F.lit(""))
     part = F.when(F.col("block").isNotNull(), F.col("block")).when(label == "title", F.lit(None)).when(label == "section_header", heading).when(label == "code", code).when(label == "formula", formula).when(label == "list_item", F.concat(F.lit(r"\item "), t)).otherwise(t)
-    figure = F.concat(F.lit("\\begin{figure}[h]\n"), F.coalesce(F.concat(F.lit("\\caption{"), tx.latex_escape(F.col("caption")), F.lit("}\n")), F.lit("")), F.lit("\\end{figure}"))
-    part = F.when((label == "picture") & F.col("block").isNull(), figure).otherwise(part)
-    part = floated(part, F.when(label != "picture", tx.latex_escape(F.col("caption"))), tx.latex_escape(F.col("footnote")), "\n\n")
+    if "is_float" in nodes.columns:
+        figure = F.concat(F.lit("\\begin{figure}[h]\n"), F.coalesce(F.concat(F.lit("\\caption{"), tx.latex_escape(F.col("caption")), F.lit("}\n")), F.lit("")), F.lit("\\end{figure}"))
+        part = F.when((label == "picture") & F.col("block").isNull(), figure).otherwise(part)
+        part = floated(part, F.when(label != "picture", tx.latex_escape(F.col("caption"))), tx.latex_escape(F.col("footnote")), "\n\n")
     items = prepare(nodes, o)
     env = F.when(F.coalesce("b.first_enumerated", F.lit(False)), F.lit("enumerate")).otherwise(F.lit("itemize"))
     body = assemble(items, part, "\n\n", F.concat(F.lit("\\begin{"), env, F.lit("}\n")), F.concat(F.lit("\n\\end{"), env, F.lit("}")))

@@ -23,7 +23,7 @@ def geo_lists(spark, sf):
     group = F.concat(F.replace("parent_ref", F.lit("#/texts/n"), F.lit("#/groups/n")))
     g = n.filter(item).select("doc_id", "parent_ref", group.alias("ref")).distinct().withColumn("child_pos", F.lit(0)).withColumn("label", F.lit("list")).withColumn("kind", F.lit("groups")).withColumn("layer", F.lit("body"))
     moved = n.withColumn("enumerated", F.when(item, F.ascii(F.right(group, F.lit(1))) % 3 == 0)).withColumn("parent_ref", F.when(item, group).otherwise(F.col("parent_ref")))
-    return with_paths(materialize(moved.unionByName(g, allowMissingColumns=True)), 20)
+    return with_paths(materialize(moved.unionByName(g, allowMissingColumns=True)))
 
 
 def render_markdown(spark, sf):

@@ -20,7 +20,7 @@ def geo(spark, sf):
 
 
 def geo_paths(spark, sf):
-    return t.with_paths(materialize(geo(spark, sf)), 20)
+    return t.with_paths(materialize(geo(spark, sf)))
 
 
 def web(spark, sf):

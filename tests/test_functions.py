@@ -53,13 +53,12 @@ def test_line_packer_keeps_text_and_limits():
     r = random.Random(4)
     for _ in range(60):
         lines = [" ".join("w" * r.randint(1, 5) for _ in range(r.randint(0, 30))) + "\n" for _ in range(r.randint(1, 12))]
-        p = chunk.LinePacker(10)
-        out = p.pack(lines)
+        out = chunk.pack_lines("".join(lines), 10)
         assert "".join(out).replace("\n", "").replace(" ", "") == "".join(lines).replace("\n", "").replace(" ", "")
-        assert all(len(c.split()) <= 11 for c in out)  # a full chunk takes one more character before a line that is cut
-    assert chunk.LinePacker(5, "p q\n").pack(["a b\n", "c d\n"]) == ["p q\na b\n", "p q\nc d\n"]
-    assert chunk.LinePacker(3, "p q\n", omit_prefix=True).pack(["a b c\n"]) == ["p q\n", "a b c\n"]
-    assert chunk.LinePacker(2, "p q r").pack(["a b\n"]) == ["p q", " r", "a b\n"]
+        assert all(len(c.split()) <= 10 for c in out)
+    assert chunk.pack_lines("a b\nc d\n", 5, "p q\n") == ["p q\na b\n", "p q\nc d\n"]
+    assert chunk.pack_lines("a b c\n", 3, "p q\n", omit_prefix=True) == ["p q\n", "a b c\n"]
+    assert chunk.pack_lines("a b\n", 2, "p q r") == ["p q", " r", "a b\n"]
 
 
 def test_split_text_keeps_words_and_limits():
