@@ -19,6 +19,7 @@ pass through, whatever their names: ``scan`` names its own with a prefix and rep
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +106,7 @@ class Matcher:
 
     def find(self, words: list[bytes]):
         """(start, end, item ids) of all occurrences."""
-        ids = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
         for w in self.lengths:
             for at, who in w.find(ids):
                 yield at, at + w.m, [self.items[i] for i in who]
