@@ -14,11 +14,12 @@ def cells_in_box(cells: DataFrame, unit: str, area: Column, ios: float = 0.8) ->
 
 
 def crop_text(cells: DataFrame, unit: str, area: Column, eps: float = 1.0) -> DataFrame:
-    """(doc_id, page_no, text): the cells wholly inside, by index, then text; a space between cells that don't touch within ``eps``."""
+    """(doc_id, page_no, text): the cells wholly inside, by index, then text, then place (nulls last), so that the
+    order of the rows decides nothing; a space between cells that don't touch within ``eps``."""
     x = F.col("bbox")
     low, high = (lambda b: F.least(b["t"], b["b"])), (lambda b: F.greatest(b["t"], b["b"]))
     inside = (area["l"] <= x["l"]) & (x["r"] <= area["r"]) & (low(area) <= low(x)) & (high(x) <= high(area))
-    w = Window.partitionBy("doc_id", "page_no").orderBy("index", "text")
+    w = Window.partitionBy("doc_id", "page_no").orderBy(*map(F.asc_nulls_last, ("index", "text", "bbox")))
     last = F.lag("bbox").over(w)
     joined = (F.abs(x["l"] - last["r"]) < eps) & (F.abs(x["b"] - last["b"]) < eps)
     part = F.when(last.isNull() | joined, F.col("text")).otherwise(F.concat(F.lit(" "), F.col("text")))
