@@ -61,7 +61,7 @@ def merge_ranges(ranges: DataFrame, key: str = "doc_id") -> DataFrame:
 def gaps(ranges: DataFrame, wholes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, end): what the ranges leave of wholes (key, total), from 0."""
     m = merge_ranges(ranges, key).join(wholes, key)
-    w = Window.partitionBy(key).orderBy("start")
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"))
     ends = m.select(key, F.coalesce(F.lag("end").over(w), F.lit(0)).alias("s"), F.col("start").alias("e"))
     tail = m.groupBy(key, "total").agg(F.max("end").alias("s")).select(key, "s", F.col("total").alias("e"))
     none = wholes.join(ranges.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("s"), F.col("total").alias("e"))

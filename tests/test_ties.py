@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
-from quire.operators import cells
+from quire.operators import cells, graph
 
 
 def test_crop_text_of_equal_cells(spark):
@@ -16,3 +16,13 @@ def test_crop_text_of_equal_cells(spark):
         d = spark.createDataFrame(spark.sparkContext.parallelize(order, 1), "index int, l double, r double, text string")
         d = d.select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_no"), F.lit("word").alias("unit"), "index", g.box(F.col("l"), F.lit(10.0), F.col("r"), F.lit(20.0)).alias("bbox"), "text")
         assert [r["text"] for r in cells.crop_text(d, "word", area).collect()] == ["x xy"]
+
+
+RANGES = "doc_id int, start int, end int"
+
+
+def test_gaps_beside_nulls(spark):
+    """A range without a start says nothing of what lies before the others."""
+    d = spark.createDataFrame([(1, 120, 142), (1, 40, 55), (1, 120, 142), (2, None, 50), (2, 60, 70)], RANGES)
+    wholes = spark.createDataFrame([(1, 200), (2, 200), (3, 200)], "doc_id int, total int")
+    assert sorted(map(tuple, graph.gaps(d, wholes).collect())) == [(1, 0, 40), (1, 55, 120), (1, 142, 200), (2, 0, 60), (2, 70, 200), (3, 0, 200)]
