@@ -51,8 +51,9 @@ def iou_match(left: DataFrame, right: DataFrame, least: float = 0.01) -> DataFra
 
 
 def merge_ranges(ranges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, end): ranges that overlap or touch become one."""
-    w = Window.partitionBy(key).orderBy("start", "end")
+    """(key, start, end): ranges that overlap or touch become one. Both windows share one sort, so equal ranges stay as the
+    first found them; nulls go last: a range without an end joins the run that its start is in."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = ranges.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return r.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")

@@ -21,6 +21,11 @@ def test_crop_text_of_equal_cells(spark):
 RANGES = "doc_id int, start int, end int"
 
 
+def test_equal_ranges_and_nulls_merge(spark):
+    d = spark.createDataFrame([(1, 120, 142), (1, 40, 55), (1, 120, 142), (1, 40, 50), (2, 20, None), (2, 20, 30), (2, None, 90), (2, 40, None), (2, None, None)], RANGES)
+    assert sorted(map(tuple, graph.merge_ranges(d).collect()), key=str) == sorted([(1, 40, 55), (1, 120, 142), (2, 20, 30), (2, None, 90), (2, 40, None), (2, None, None)], key=str)
+
+
 def test_gaps_beside_nulls(spark):
     """A range without a start says nothing of what lies before the others."""
     d = spark.createDataFrame([(1, 120, 142), (1, 40, 55), (1, 120, 142), (2, None, 50), (2, 60, 70)], RANGES)
